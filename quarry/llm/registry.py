@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, token_counts
+from . import ann, bpe, langid, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_packing": packing.op4_packing,
+    "op5_language_id": langid.op5_language_id,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
