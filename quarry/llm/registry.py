@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, packing, quality, token_counts, toxicity
+from . import ann, bpe, langid, packing, quality, substring, suffix, token_counts, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_language_id": langid.op5_language_id,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
+    "op7_suffix_dedup": suffix.op7_suffix_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES = {"op10_quality_rules": quality.SQL}
+ORACLES = {"op1_substring_dedup": substring.SQL, "op10_quality_rules": quality.SQL}
