@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .tables import documents, held_out, prepare
+from .tables import carried, documents, held_out, prepare, uncarried
 
 #: Symbols of the n-gram alphabet: 0 for a break between words, a to z, and buckets for other letters.
 SYMBOLS = 64
@@ -27,6 +27,8 @@ TRAIN_PER_LANGUAGE = 1500
 #: Bytes of text scanned at a time; the table of trigram vectors that are present stays small.
 STEP = 1 << 20
 UNDETERMINED = "und"
+#: A text that is less like every language than this is rejected where languages are required.
+LEAST_SCORE = 0.05
 
 
 @lru_cache(maxsize=1)
@@ -154,7 +156,7 @@ def _predict(profiles: Profiles):
                 a, b = classify(texts, profiles)
                 names += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["first", "lang_pred", "score"])
 
     return run
 
@@ -171,6 +173,13 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return src.mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of a table, with all its columns, whose text has a language: not `und`, and a score of at least `least`."""
+    prepare(docs.sparkSession)
+    said = carried(docs, _predict(profiles), "lang_pred string, score double", text_col)
+    return uncarried(said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)), docs.columns)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = fit(documents(spark, sf_dir, "doc_id", "text", "lang").where(~held_out()))
     return identify(documents(spark, sf_dir), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

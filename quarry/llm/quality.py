@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .tables import documents, prepare
+from .tables import carried, documents, prepare, uncarried
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COLUMNS = ", ".join(f"{k} long" for k in (*MEASURES, "n_lines"))
 #: Fixed values of the contract: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -120,7 +121,7 @@ def _ledger(batches):
             for k, v in measure(buf, offs).items():
                 got[k].append(v)
         cols = [pa.array(np.concatenate(got[k]) if got[k] else np.empty(0), pa.int64()) for k in names]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["first", *names])
 
 
 def failures() -> Column:
@@ -140,8 +141,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, " + ", ".join(f"{k} long" for k in (*MEASURES, "n_lines"))
-    return src.mapInArrow(_ledger, schema).withColumn("failed", failures())
+    return src.mapInArrow(_ledger, f"doc_id long, {COLUMNS}").withColumn("failed", failures())
 
 
 def verdict(ledger_df: DataFrame, policy: Policy | str = "v1") -> DataFrame:
@@ -150,6 +150,13 @@ def verdict(ledger_df: DataFrame, policy: Policy | str = "v1") -> DataFrame:
     return ledger_df.withColumn("kept", F.col("failed").bitwiseAND(F.lit(p.mask)) == 0)
 
 
+def kept_rows(docs: DataFrame, policy: Policy | str = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of a table, with all its columns, that a policy keeps."""
+    prepare(docs.sparkSession)
+    led = carried(docs, _ledger, COLUMNS, text_col).withColumn("failed", failures())
+    return uncarried(verdict(led, policy).where("kept"), docs.columns)
+
+
 def ablations(ledger_df: DataFrame, policy: Policy | str = "v1") -> DataFrame:
     """For each rule of a policy: rows failing it, rows that only it rejects, and rows kept without it.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, packing, quality, substring, suffix, token_counts, toxicity
+from . import ann, bpe, langid, minhash, packing, quality, substring, suffix, token_counts, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -12,7 +12,8 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_suffix_dedup": suffix.op7_suffix_dedup,
+    "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES = {"op1_substring_dedup": substring.SQL, "op10_quality_rules": quality.SQL}
+ORACLES = {"op1_substring_dedup": substring.SQL, "op8_minhash_near_dedup": minhash.SQL, "op10_quality_rules": quality.SQL}

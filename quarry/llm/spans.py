@@ -310,10 +310,10 @@ def _windows(shape: Shape):
     return run
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, text): the id, with a stand-in for null, and the text."""
+def prepared(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(d, text): the id, with a stand-in for null, and the text; and further columns."""
     prepare(docs.sparkSession)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def repeated(docs: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
@@ -354,11 +354,11 @@ def covered(shape: Shape, items: np.ndarray, first: np.ndarray, doc: np.ndarray,
     return np.cumsum(step)[:-1] > 0
 
 
-def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(d, text, at, n, u): each document with the lists of its runs; empty lists where it has none."""
+def with_runs(docs: DataFrame, runs: DataFrame, lead: str = "d") -> DataFrame:
+    """(lead, text, at, n, u): each document with the lists of its runs; empty lists where it has none."""
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "u")).alias("l")).select(F.col("doc").alias("d"), F.col("l.at").alias("at"), F.col("l.n").alias("n"), F.col("l.u").alias("u"))
     empty = F.array().cast("array<long>")
-    return docs.join(lists, "d", "left").select("d", "text", *(F.coalesce(F.col(c), empty).alias(c) for c in ("at", "n", "u")))
+    return docs.join(lists, "d", "left").select(lead, "text", *(F.coalesce(F.col(c), empty).alias(c) for c in ("at", "n", "u")))
 
 
 def marked(shape: Shape, batch: pa.RecordBatch):

@@ -49,7 +49,7 @@ def _remove(sh: spans.Shape, as_text: bool):
                 digest += [hashlib.sha256(k).hexdigest() for k in kept]
                 # a cut may fall inside a character; what is left of it is not text
                 text += [k.decode("utf-8", "ignore") if as_text else None for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string())], names=["first", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
@@ -68,5 +68,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col
     return _restore_null(out)
 
 
+def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of a table, its texts without the bytes that `dedup` removes; n_chars, if there, counts what is left.
+
+    A character that a cut divides goes as a whole.  Every row stays, if need be with an empty text.
+    """
+    sh, rest = shape(window), [c for c in docs.columns if c != text_col]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_"))
+    src = spans.prepared(docs, id_col, text_col, row.alias("row"))
+    marked = spans.with_runs(src, spans.repeated(src.select("d", "text"), sh, ordered=False), "row")
+    kind = marked.schema["row"].dataType.simpleString()
+    out = marked.mapInArrow(_remove(sh, True), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cols = {c: F.col(f"row.`{c}`") for c in rest} | {text_col: F.col("kept")}
+    if "n_chars" in cols:
+        cols["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(cols[c].alias(c) for c in docs.columns))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(documents(spark, sf_dir)).drop("kept")

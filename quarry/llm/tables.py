@@ -62,3 +62,19 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def held_out(doc_id="doc_id"):
     """crc32 of the decimal id, modulo 3, is 1."""
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1
+
+
+def carried(docs: DataFrame, run, added: str, text_col: str = "text") -> DataFrame:
+    """`row`, a struct of all columns of a table, and the columns that `run` adds to each row, without a join.
+
+    run: a mapInArrow function over (any first column, text) that gives the first column back.  The
+    table's own columns stay inside `row`, so names never clash.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    src = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, {added}")
+
+
+def uncarried(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of `row` again."""
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
