@@ -28,7 +28,7 @@ TRAIN_PER_LANGUAGE = 1500
 STEP = 1 << 20
 UNDETERMINED = "und"
 #: A text that is less like every language than this is rejected where languages are required.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.01
 
 
 @lru_cache(maxsize=1)
