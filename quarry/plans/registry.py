@@ -1,15 +1,16 @@
-"""All queries of the engine."""
+"""All queries of the engine and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from . import graph_queries, source_queries, text_queries
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+MODULES = (graph_queries, text_queries, source_queries)
+entry = graph_queries.flagship
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
