@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .tables import cut, prepare
+from .tables import cut, drop, prepare
 
 #: Stands for a null id inside this module.
 NO_ID = -(2**63)
@@ -281,7 +281,7 @@ def hot_keys(docs: DataFrame, shape: Shape, ordered: bool) -> Hot:
 
 
 def _windows(shape: Shape):
-    """(key, check, document, place) of each window of the opened stretches of some documents."""
+    """(key, check and place, document) of each window of the opened stretches of some documents."""
 
     def run(batches):
         for batch in batches:
@@ -302,8 +302,8 @@ def _windows(shape: Shape):
                 doc, at = pairs >> 32, pairs & 0xFFFFFFFF
                 s = first[doc] + at
                 key = ts.Prefix(items, 0).ranges(s, s + shape.window).view(np.int64) if len(s) else np.empty(0, np.int64)
-                check = (ts.Prefix(items, 1).ranges(s, s + shape.window) >> np.uint64(40)).astype(np.int32) if len(s) else np.empty(0, np.int32)
-                out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(ids[i + doc], pa.int64()), pa.array(at)], names=["u", "c", "doc", "at"])
+                check = (ts.Prefix(items, 1).ranges(s, s + shape.window) >> np.uint64(40)).astype(np.int64) if len(s) else np.empty(0, np.int64)
+                out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(check << 40 | at), pa.array(ids[i + doc], pa.int64())], names=["u", "x", "doc"])
                 for z in range(0, len(out), 50_000):
                     yield out.slice(z, 50_000)
 
@@ -316,29 +316,38 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def repeated(docs: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
-    """Runs of repeated windows: doc, at, n (windows from `at` on), u (key of their text), sdoc, sat.
+def repeated(docs: DataFrame, shape: Shape, ordered: bool, sources: bool = False) -> DataFrame:  # sources: of ordered windows only
+    """Runs of repeated windows: doc, at, n (windows from `at` on), u (key of their text); with sources also sdoc, sat.
 
     docs: (d, text) of `prepared`.  Ordered: a window counts if its text also starts in a document
     with a smaller id, and (sdoc, sat) is such a place; unordered: if it also starts anywhere else.
+    Each step is written to the shared folder, so that what it shuffled can go before the next.
     """
     spark = docs.sparkSession
+    extra = ["sdoc", "sat"] if sources else []
     hot = hot_keys(docs, shape, ordered)
     rows = docs.mapInArrow(_emit(shape, hot, ordered), ROW)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "p").sortWithinPartitions("h", "u", "doc", "x")
-    first = cut(dealt.mapInArrow(_group(ordered), GROUPS), "stretches")
+    first = cut(dealt.mapInArrow(_group(ordered), GROUPS).select("doc", "at", "n", "u", "open", *extra), "stretches")
     lists = first.where("open").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("l")).select(F.col("doc").alias("d"), F.col("l.at").alias("at"), F.col("l.n").alias("n"))
-    single = cut(docs.join(lists, "d").select("d", "text", "at", "n").mapInArrow(_windows(shape), "u long, c int, doc long, at long"), "windows")
-    key = ["u", "c"]
-    if ordered:
-        best = single.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("s"), F.max("doc").alias("last")).where("last > s.doc")
-        hits = single.join(best, key).where("doc > s.doc")
+    single = cut(docs.join(lists, "d").select("d", "text", "at", "n").mapInArrow(_windows(shape), "u long, x long, doc long"), "windows")
+    keyed = single.select("u", F.shiftrightunsigned("x", 40).cast("int").alias("c"), "doc", F.col("x").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
+    at = F.col("at").cast("long").bitwiseAND(0xFFFFFFFF)
+    if ordered and sources:
+        best = keyed.groupBy("u", "c").agg(F.min(F.struct("doc", "at")).alias("s"), F.max("doc").alias("most")).where("most > s.doc").select("u", "c", "s", F.col("s.doc").alias("least"))
+    elif ordered:
+        best = keyed.groupBy("u", "c").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select("u", "c", "least")
     else:
-        best = single.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("s"), F.count("*").alias("k")).where("k > 1")
-        hits = single.join(best, key)
-    hits = hits.select("doc", "at", F.lit(1).cast("long").alias("n"), "u", F.col("s.doc").alias("sdoc"), F.col("s.at").alias("sat"))
-    return first.where("not open").select("doc", "at", "n", "u", "sdoc", "sat").unionByName(hits)
+        best = keyed.groupBy("u", "c").agg(F.count("*").alias("k")).where("k > 1").select("u", "c")
+    hits = keyed.join(best, ["u", "c"])
+    if ordered:
+        hits = hits.where("doc > least")
+    source = {"sdoc": F.col("s.doc"), "sat": F.col("s.at").cast("long").bitwiseAND(0xFFFFFFFF)} if sources else {}
+    hits = hits.select("doc", at.alias("at"), F.lit(1).cast("long").alias("n"), "u", *(source[c].alias(c) for c in extra))
+    hits = cut(hits, "hits")
+    drop(single)
+    return first.where("not open").drop("open").unionByName(hits)
 
 
 def covered(shape: Shape, items: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -87,7 +87,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Paths of a document whose source coordinates go on without a gap are one span.
     """
     src, sh = spans.prepared(docs, id_col, text_col), shape(window)
-    runs = spans.repeated(src, sh, ordered=True).withColumn("shift", F.col("sat") - F.col("at"))
+    runs = spans.repeated(src, sh, ordered=True, sources=True).withColumn("shift", F.col("sat") - F.col("at"))
     along = Window.partitionBy("doc", "sdoc", "shift").orderBy("at")
     end = F.max(F.col("at") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     piece = runs.withColumn("new", F.when(F.col("at") <= end, 0).otherwise(1)).withColumn("k", F.sum("new").over(along))
