@@ -90,7 +90,7 @@ def path_text(steps) -> Column:
 
 def fixed(c, digits: int) -> Column:
     """A number with so many decimals, rounded half away from zero as a decimal."""
-    return F.format_string(f"%.{digits}f", F.round(col(c).cast("decimal(30,12)"), digits))
+    return col(c).cast("decimal(30,12)").cast(f"decimal(30,{digits})").cast("string")
 
 
 def score_suffix(score, eta) -> Column:
@@ -99,7 +99,7 @@ def score_suffix(score, eta) -> Column:
 
 def evidence_text(items) -> Column:
     """Numbered lines `i. [type; score=..] text` of an array of (type, score, text)."""
-    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), x["type"], F.lit("; score="), F.format_string("%.4f", F.round(x["score"].cast("decimal(30,12)"), 4)), F.lit("] "), x["text"])
+    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), x["type"], F.lit("; score="), fixed(x["score"], 4), F.lit("] "), x["text"])
     return F.array_join(F.transform(col(items), line), "\n")
 
 
