@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
-from quarry.sources.star_kg import DIM, GAMMA, Graph
+from quarry.sources.star_kg import Graph
 
 KEY = ["head", "relation", "gold"]
 ORDER = ["ord", "h", "r", "t"]
@@ -47,12 +47,12 @@ def with_cosine(df: DataFrame, graph: Graph) -> DataFrame:
     return out.withColumn("cosine", F.round(vectors.cosine("p_edge", "p_query"), 9))
 
 
-def with_score(df: DataFrame, graph: Graph, h: str, r: str, t: str, name: str, gamma: float = GAMMA, dim: int = DIM) -> DataFrame:
+def with_score(df: DataFrame, graph: Graph, h: str, r: str, t: str, name: str) -> DataFrame:
     """Adds the rotation score of (h, r, t); null where a vector is missing."""
     ev, rv = graph.entity_vectors, graph.relation_vectors
     out = df.join(ev.select(F.col("id").alias(h), F.col("vec").alias("_h")), h, "left").join(ev.select(F.col("id").alias(t), F.col("vec").alias("_t")), t, "left")
     out = out.join(rv.select(F.col("r").alias(r), F.col("phase").alias("_r")), r, "left")
-    return out.withColumn(name, vectors.rotate_score("_h", "_r", "_t", gamma, dim)).drop("_h", "_r", "_t")
+    return out.withColumn(name, vectors.rotate_score("_h", "_r", "_t", graph.gamma, graph.dim)).drop("_h", "_r", "_t")
 
 
 def one_hop(graph: Graph, queries: DataFrame, k: int = 10, mask: bool = True, splits=("train", "valid"), weights=(1.0, 1.0)) -> DataFrame:

@@ -33,6 +33,8 @@ class Graph:
     entity_vectors: DataFrame
     relation_vectors: DataFrame
     judgements: DataFrame
+    gamma: float = GAMMA
+    dim: int = DIM
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
