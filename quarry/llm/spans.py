@@ -125,9 +125,12 @@ def _emit(shape: Shape, hot: Hot, ordered: bool):
                 is_hot = k >= 0
                 if is_hot.any():
                     k0 = np.maximum(k, 0)
-                    done = is_hot & ((ids > hot.sdoc[k0]) if ordered else ~((ids == hot.sdoc[k0]) & (at == hot.sat[k0])))
-                    kind[done] = SETTLED
+                    kind[is_hot & (ids > hot.sdoc[k0]) if ordered else is_hot] = SETTLED
                     sdoc[is_hot], sat[is_hot] = hot.sdoc[k0][is_hot], hot.sat[k0][is_hot]
+                    if not ordered:  # the source is repeated as well, and also stands for its key in its anchor's group
+                        twice = np.append(np.arange(len(ids)), np.flatnonzero(is_hot & (ids == hot.sdoc[k0]) & (at == hot.sat[k0])))
+                        ids, at, n, anchor, key, check, part, kind, sdoc, sat = (v[twice] for v in (ids, at, n, anchor, key, check, part, kind, sdoc, sat))
+                        kind[len(k) :] = GROUPED
                 if len(hot.anchors):
                     kind[np.isin(anchor, hot.anchors) & (kind == GROUPED)] = OPEN
                 free = kind != GROUPED
