@@ -52,15 +52,19 @@ def _valid(numbers: Column, n: Column, k: int) -> Column:
 def ranked_indices(c, k: int = 10, n=20) -> Column:
     """Indices of a reply: the list under a known key, else every number in the text; in range, distinct, k at most; null without any."""
     limit = F.lit(n) if isinstance(n, int) else col(n)
-    clean = clean_reply(c)
-    lists = []
-    for text in (clean, json_object(clean), json_object(c)):
-        value = _first_key(F.when(F.try_parse_json(text).isNotNull() & text.startswith("{"), text), INDEX_KEYS)
-        items = F.from_json(value, "array<string>")
-        picked = _valid(F.transform(items, lambda s: F.expr("null").cast("long") if s is None else F.coalesce(s.try_cast("long"), F.when(s.rlike(r"^-?\d+\.\d+$"), s.try_cast("double").cast("long")))), limit, k)
-        lists.append(F.when(F.size(picked) > 0, picked))
-    loose = _valid(F.transform(F.regexp_extract_all(clean, F.lit(r"\d+"), F.lit(0)), lambda s: s.try_cast("long")), limit, k)
-    return F.coalesce(*lists, F.when(F.size(loose) > 0, loose))
+    number = lambda s: F.coalesce(s.try_cast("long"), F.when(s.rlike(r"^-?\d+\.\d+$"), s.try_cast("double").cast("long")))
+
+    def listed(text: Column) -> Column:
+        items = F.from_json(_first_key(F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text), INDEX_KEYS), "array<string>")
+        picked = _valid(F.transform(items, number), limit, k)
+        return F.when(F.size(picked) > 0, picked)
+
+    def pick(clean: Column) -> Column:
+        loose = _valid(F.transform(F.regexp_extract_all(clean, F.lit(r"\d+"), F.lit(0)), lambda s: s.try_cast("long")), limit, k)
+        return F.coalesce(listed(clean), listed(json_object(clean)), listed(json_object(c)), F.when(F.size(loose) > 0, loose))
+
+    # the cleaned reply is made once, as the variable of a transform
+    return F.when(col(c).isNotNull(), F.get(F.transform(F.array(clean_reply(c)), pick), 0))
 
 
 def complete_indices(c, k: int = 10, n=20) -> Column:

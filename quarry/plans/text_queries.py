@@ -135,21 +135,21 @@ INDEX = (
 
 @query("replies_ranked_indices", INDEX + "SELECT o_orderkey, CASE WHEN len(p) = 0 THEN NULL ELSE array_to_string(p, ',') END AS picked, array_to_string(full10, ',') AS completed FROM f")
 def _(spark, d):
-    x = table(spark, d, "orders").select("o_orderkey", replies.ranked_indices(_index_reply()).alias("p"))
+    x = table(spark, d, "orders").select("o_orderkey", _index_reply().alias("reply")).select("o_orderkey", replies.ranked_indices("reply").alias("p"))
     join = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
     return x.select("o_orderkey", join(F.col("p")).alias("picked"), join(replies.complete_indices("p")).alias("completed"))
 
 
 @query("replies_rank_metrics", INDEX + ", r AS (SELECT o_orderkey, list_position(full10, o_orderkey % 13) AS rank FROM f) SELECT o_orderkey, rank::BIGINT AS rank, round(coalesce(1.0 / rank, 0), 9) AS rr, (coalesce(rank, 99) <= 1)::INT AS hit1, (coalesce(rank, 99) <= 3)::INT AS hit3, (coalesce(rank, 99) <= 10)::INT AS hit10 FROM r")
 def _(spark, d):
-    x = table(spark, d, "orders").select("o_orderkey", replies.complete_indices(replies.ranked_indices(_index_reply())).alias("full"))
+    x = table(spark, d, "orders").select("o_orderkey", _index_reply().alias("reply")).select("o_orderkey", replies.ranked_indices("reply").alias("p")).select("o_orderkey", replies.complete_indices("p").alias("full"))
     x = x.withColumn("rank", metrics.rank_in("full", F.col("o_orderkey") % 13))
     return x.select("o_orderkey", "rank", *metrics.rank_columns("rank")).withColumn("rr", F.round("rr", 9))
 
 
 @query("replies_mean_metrics", INDEX + ", r AS (SELECT p, list_position(full10, o_orderkey % 13) AS rank FROM f) SELECT count(*) AS total, round(avg(coalesce(1.0 / rank, 0)), 9) AS mrr_at_k, round(avg((coalesce(rank, 99) <= 3)::INT), 9) AS hits3, count(*) FILTER (len(p) > 0) AS ok_count, count(*) FILTER (len(p) = 0) AS failed_count, 0::BIGINT AS candidate_error_count, count(*) FILTER (len(p) = 0) AS real_failures FROM r")
 def _(spark, d):
-    x = table(spark, d, "orders").select("o_orderkey", replies.ranked_indices(_index_reply()).alias("p"))
+    x = table(spark, d, "orders").select("o_orderkey", _index_reply().alias("reply")).select("o_orderkey", replies.ranked_indices("reply").alias("p"))
     x = x.select(metrics.rank_in(replies.complete_indices("p"), F.col("o_orderkey") % 13).alias("rank"), F.when(F.col("p").isNull(), "failed_parse_filled_by_default_order").otherwise("ok").alias("status"))
     return metrics.means(x).select("total", F.round("mrr_at_k", 9).alias("mrr_at_k"), F.round("hits3", 9).alias("hits3"), "ok_count", "failed_count", "candidate_error_count", "real_failures")
 

@@ -65,7 +65,8 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     k = F.pmod(F.col("h") * 31 + F.col("r") * 17 + F.col("t"), F.lit(100))
     split = F.when(k < 90, "train").when(k < 95, "valid").otherwise("test")
     order = F.when(k < 90, 0).when(k < 95, 1).otherwise(2)
-    triples = facts.select(split.alias("split"), order.alias("ord"), "h", "r", "t")
+    # read several times by most queries; one copy is kept, and a lost part is made again
+    triples = facts.select(split.alias("split"), order.alias("ord"), "h", "r", "t").persist()
     relations = spark.createDataFrame(RELATIONS, "r int, r_label string, domain string, range string")
     emb = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     n = emb.count()

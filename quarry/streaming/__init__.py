@@ -1,0 +1 @@
+"""There are no streams in the engine: a graph is a finite batch, and so is a corpus."""
