@@ -119,7 +119,7 @@ def pair_key(a, b) -> Column:
 
 
 def query_signature(relation_id, ranges, classes) -> Column:
-    part = lambda c: F.array_join(F.array_sort(F.transform(col(c), normalize_class)), "|")
+    part = lambda c: F.array_join(F.array_sort(F.transform(col(c), normalize_class)), "||")
     return F.concat(F.lit("r="), col(relation_id).cast("string"), F.lit("::range="), part(ranges), F.lit("::classes="), part(classes))
 
 
@@ -130,22 +130,42 @@ def messages(user, system=None) -> Column:
     return F.filter(F.array(make("system", said), make("user", col(user))), lambda m: ~((m["role"] == "system") & (m["content"].isNull() | (m["content"] == ""))))
 
 
-#: Synonyms of the four judgement labels.
+#: Other names of the judgement labels.
 JUDGEMENTS = {
-    "same": "subclass_or_same", "equal": "subclass_or_same", "equivalent": "subclass_or_same", "subclass": "subclass_or_same", "sub_class": "subclass_or_same", "subclass_or_same": "subclass_or_same",
-    "superclass": "parent", "super_class": "parent", "parent": "parent",
-    "related": "overlap", "overlap": "overlap", "overlapping": "overlap",
-    "disjoint": "disjoint",
-}
+    "same": "subclass_or_same",
+    "exact": "subclass_or_same",
+    "subclass": "subclass_or_same",
+    "subclass_or_equal": "subclass_or_same",
+    "parent": "parent_of_range",
+    "superclass": "parent_of_range",
+    "superclass_of_range": "parent_of_range",
+    "overlap": "overlap_related",
+    "related": "overlap_related",
+    "partially_related": "overlap_related",
+    "different": "disjoint",
+    "irrelevant": "disjoint",
+    "unrelated": "disjoint",
+}
 #: The score of each judgement.
-JUDGEMENT_SCORES = {"subclass_or_same": 1.0, "parent": 0.9, "overlap": 0.8, "disjoint": 0.5}
+JUDGEMENT_SCORES = {
+    "subclass_or_same": 1.0,
+    "parent_of_range": 0.9,
+    "overlap_related": 0.8,
+    "disjoint": 0.5,
+    "no_range_constraint": 1.0,
+    "missing_entity_class": 0.8,
+    "missing_class_text": 0.8,
+    "no_llm_fallback": 0.8,
+    "llm_error_fallback": 0.8,
+}
 
 
 def judgement(c) -> Column:
     """A judgement label in its normal form; unknown labels are `disjoint`."""
     x = F.regexp_replace(F.lower(F.trim(col(c))), "[- ]", "_")
     table = F.create_map(*(F.lit(v) for kv in JUDGEMENTS.items() for v in kv))
-    return F.coalesce(F.try_element_at(table, x), F.lit("disjoint"))
+    named = F.coalesce(F.try_element_at(table, x), x)
+    return F.when(named.isin(*JUDGEMENT_SCORES), named).otherwise("disjoint")
 
 
 def judgement_score(c) -> Column:

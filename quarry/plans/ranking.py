@@ -81,12 +81,12 @@ def question_prompt(head: Column, relation: Column, head_classes: Column, domain
 
 def pair_prompt(entity_class: Column, range_class: Column) -> Column:
     """Asks how two classes relate."""
-    return F.concat(F.lit("How does the class \""), entity_class, F.lit('" relate to the expected class "'), range_class, F.lit('"? One of: subclass_or_same, parent, overlap, disjoint.\nReply with JSON only: {"relation": "...", "reason": "..."}'))
+    return F.concat(F.lit("How does the class \""), entity_class, F.lit('" relate to the expected class "'), range_class, F.lit('"? One of: subclass_or_same, parent_of_range, overlap_related, disjoint.\nReply with JSON only: {"relation": "...", "reason": "..."}'))
 
 
 def classes_prompt(classes: Column, ranges: Column) -> Column:
     """Asks how each of several classes relates to the expected ones, in one call."""
-    return F.concat(F.lit("Expected classes: "), text.class_list(ranges), F.lit("\nJudge each class: "), text.class_list(classes), F.lit('\nEach one of: subclass_or_same, parent, overlap, disjoint.\nReply with JSON only: {"judgments": [{"class": "...", "relation": "..."}]}'))
+    return F.concat(F.lit("Expected classes: "), text.class_list(ranges), F.lit("\nJudge each class: "), text.class_list(classes), F.lit('\nEach one of: subclass_or_same, parent_of_range, overlap_related, disjoint.\nReply with JSON only: {"judgments": [{"class": "...", "relation": "..."}]}'))
 
 
 def ranking_prompts(candidates: DataFrame, graph: Graph, evidence: DataFrame | None = None, cfg: RankConfig = RankConfig()) -> DataFrame:
@@ -136,4 +136,4 @@ def judge_pairs(pairs: DataFrame, judgements: DataFrame, make_client: Callable[[
     todo = ontology.unjudged(pairs.distinct(), judgements).withColumn("prompt", pair_prompt(F.col("entity_class"), F.col("range_class")))
     said = ask(todo, make_client, retries).withColumn("json", replies.json_object(replies.clean_reply("reply")))
     label = F.get_json_object("json", "$.relation")
-    return said.select("entity_class", "range_class", F.when(label.isNull(), "llm_fallback").otherwise(text.judgement(label)).alias("relation"), F.when(label.isNull(), ontology.FALLBACK).otherwise(text.judgement_score(text.judgement(label))).alias("score"))
+    return said.select("entity_class", "range_class", F.when(label.isNull(), "llm_error_fallback").otherwise(text.judgement(label)).alias("relation"), F.when(label.isNull(), ontology.FALLBACK).otherwise(text.judgement_score(text.judgement(label))).alias("score"))

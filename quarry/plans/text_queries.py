@@ -85,7 +85,7 @@ def _(spark, d):
     return e.select("id", text.class_list("classes").alias("classes"), text.score_suffix(score, (F.col("id") % 100) / 100.0).alias("suffix"), line.alias("line"), text.strip_number(line).alias("plain"))
 
 
-@query("text_keys", "WITH " + star_kg.SQL + ", x AS (SELECT *, list_sort(list_transform(classes, lambda c: lower(c))) AS cs FROM ent) SELECT id, 'pair::' || lower(classes[1]) || '|||' || 'a / b c' AS pair, 'r=' || (id % 8) || '::range=a|b::classes=' || array_to_string(cs, '|') AS signature FROM x")
+@query("text_keys", "WITH " + star_kg.SQL + ", x AS (SELECT *, list_sort(list_transform(classes, lambda c: lower(c))) AS cs FROM ent) SELECT id, 'pair::' || lower(classes[1]) || '|||' || 'a / b c' AS pair, 'r=' || (id % 8) || '::range=a||b::classes=' || array_to_string(cs, '||') AS signature FROM x")
 def _(spark, d):
     e = star_kg.load(spark, d).entities
     return e.select("id", text.pair_key(F.get("classes", F.lit(0)), F.lit(" A/b_c ")).alias("pair"), text.query_signature((F.col("id") % 8), F.array(F.lit("B"), F.lit("a")), "classes").alias("signature"))
@@ -99,10 +99,10 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.pattern_text(made).alias("patterns"))
 
 
-@query("text_judgements", "SELECT o_orderkey, l AS label, CASE l WHEN 'subclass_or_same' THEN 1.0 WHEN 'parent' THEN 0.9 WHEN 'overlap' THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'subclass_or_same' WHEN 1 THEN 'parent' WHEN 2 THEN 'overlap' ELSE 'disjoint' END AS l FROM orders)")
+@query("text_judgements", "SELECT o_orderkey, l AS label, CASE l WHEN 'subclass_or_same' THEN 1.0 WHEN 'parent_of_range' THEN 0.9 WHEN 'overlap_related' THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'subclass_or_same' WHEN 1 THEN 'parent_of_range' WHEN 2 THEN 'overlap_related' ELSE 'disjoint' END AS l FROM orders)")
 def _(spark, d):
     k = F.col("o_orderkey") % 5
-    raw = F.when(k == 0, "Sub-Class").when(k == 1, " super class ").when(k == 2, "RELATED").when(k == 3, "disjoint").otherwise("who knows")
+    raw = F.when(k == 0, "Subclass-or equal ").when(k == 1, " superclass of-range ").when(k == 2, "RELATED").when(k == 3, "disjoint").otherwise("who knows")
     return table(spark, d, "orders").select("o_orderkey", text.judgement(raw).alias("label")).withColumn("score", text.judgement_score("label"))
 
 

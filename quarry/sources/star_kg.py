@@ -19,7 +19,7 @@ RELATIONS = (
     (7, "supplies", "supplier", "part"),
 )
 #: Judgements that stand in for a model's.
-JUDGED = (("supplier", "vendor", "overlap", 0.8), ("location", "nation", "parent", 0.9))
+JUDGED = (("supplier", "vendor", "overlap_related", 0.8), ("location", "nation", "parent_of_range", 0.9))
 GAMMA, DIM = 24.0, 32
 
 
@@ -102,5 +102,5 @@ tri AS (SELECT h, r, t, CASE WHEN k < 90 THEN 'train' WHEN k < 95 THEN 'valid' E
 emb AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
 evec AS (SELECT id, vec FROM ent JOIN emb ON vec_id = id % (SELECT count(*) FROM embeddings)),
 phase AS (SELECT r, vec[1:32] AS phase FROM rel JOIN emb ON vec_id = r),
-judged AS (SELECT * FROM (VALUES ('supplier', 'vendor', 'overlap', 0.8::DOUBLE), ('location', 'nation', 'parent', 0.9::DOUBLE)) AS v(entity_class, range_class, relation, score))
+judged AS (SELECT * FROM (VALUES ('supplier', 'vendor', 'overlap_related', 0.8::DOUBLE), ('location', 'nation', 'parent_of_range', 0.9::DOUBLE)) AS v(entity_class, range_class, relation, score))
 """

@@ -49,8 +49,8 @@ def test_clients(spark):
 
 def test_judging(spark, tmp_path):
     pairs = spark.createDataFrame([("a", "b"), ("c", "d")], "entity_class string, range_class string")
-    known = spark.createDataFrame([("c", "d", "parent", 0.9)], "entity_class string, range_class string, relation string, score double")
-    got = ranking.judge_pairs(pairs, known, lambda: Fixed('```json\n{"relation": "Sub-Class"}```')).collect()
+    known = spark.createDataFrame([("c", "d", "parent_of_range", 0.9)], "entity_class string, range_class string, relation string, score double")
+    got = ranking.judge_pairs(pairs, known, lambda: Fixed('```json\n{"relation": "Subclass or-equal"}```')).collect()
     assert [(r["entity_class"], r["relation"], r["score"]) for r in got] == [("a", "subclass_or_same", 1.0)]
     assert sinks.read_judgements(spark, str(tmp_path / "none")).count() == 0
     sinks.append_judgements(known, str(tmp_path / "j"))
