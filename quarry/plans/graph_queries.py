@@ -24,10 +24,10 @@ def qs_sql(n: int) -> str:
     return f", qs AS (SELECT h AS head, r AS relation, t AS gold FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY h, t) AS k FROM tri WHERE split = 'test') WHERE k <= {n}), edge AS (SELECT ord, h, r, t FROM tri WHERE split <> 'test')"
 
 
-def test_queries(graph: star_kg.Graph, n: int):
-    """The first n test triples of each relation: the query set, a feature of these queries."""
+def test_queries(graph: star_kg.Graph, n: int | None = None):
+    """Every test triple as a query; with n, the first n of each relation only, for the entry."""
     t = graph.triples.where("split = 'test'")
-    return g.top(t, n, ["h", "t"], ["r"]).select(F.col("h").alias("head"), F.col("r").alias("relation"), F.col("t").alias("gold"))
+    return (t if n is None else g.top(t, n, ["h", "t"], ["r"])).select(F.col("h").alias("head"), F.col("r").alias("relation"), F.col("t").alias("gold"))
 
 
 def z(c: str) -> str:
@@ -61,12 +61,16 @@ CAND = (
 
 
 def query(name: str, sql: str | None = None, n: int | None = None, more: str = ""):
-    """Registers a function of (graph) or, with n, of (graph, queries)."""
+    """Registers a function of (graph) or, with n, of (graph, queries).
+
+    Queries are the whole test split.  n is what the SQL takes of each relation, so there the SQL
+    gives the rows of a part of the queries, and its means are means over that part.
+    """
 
     def add(f):
         def run(spark, sf_dir):
             graph = star_kg.load(spark, sf_dir)
-            return f(graph) if n is None else f(graph, test_queries(graph, n))
+            return f(graph) if n is None else f(graph, test_queries(graph))
 
         QUERIES[name] = run
         if sql:
