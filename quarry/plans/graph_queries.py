@@ -294,12 +294,12 @@ RANKS = ALL + KNOWN + ", ranks AS (SELECT g.head, g.relation, g.gold, 1 + count(
 
 @query("kg_filtered_ranks", "SELECT head, relation::BIGINT AS relation, gold, rank, ties FROM ranks", n=3, more=RANKS)
 def _(graph, qs):
-    return metrics.filtered_ranks(graph, qs).withColumn("relation", F.col("relation").cast("long"))
+    return metrics.both_ranks(graph, qs).withColumn("relation", F.col("relation").cast("long"))
 
 
 @query("kg_full_ranking", "SELECT round(avg(1.0 / rank), 9) AS mrr, round(avg(rank), 6) AS mr, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS hits1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS hits3, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS hits10 FROM ranks", n=3, more=RANKS)
 def _(graph, qs):
-    m = metrics.full_ranking(metrics.filtered_ranks(graph, qs))
+    m = metrics.full_ranking(metrics.both_ranks(graph, qs))
     return m.select(F.round("mrr", 9).alias("mrr"), r6("mr").alias("mr"), *(F.col(c).cast("double").alias(c) for c in ("hits1", "hits3", "hits10")))
 
 
