@@ -92,7 +92,7 @@ def _(graph):
 @query("kg_triples_labelled", "SELECT h, tri.r::BIGINT AS r, t, a.label || ' --[' || r_label || ']--> ' || b.label AS text, a.classes[1] AS h_class, b.classes[1] AS t_class FROM tri JOIN ent a ON a.id = h JOIN ent b ON b.id = t JOIN rel ON rel.r = tri.r WHERE split = 'test'")
 def _(graph):
     e = graph.entities
-    x = g.one_hop_text(graph.triples.where("split = 'test'"), graph)
+    x = g.one_hop_text(graph.triples, graph)
     x = x.join(e.select(F.col("id").alias("h"), F.get("classes", F.lit(0)).alias("h_class")), "h").join(e.select(F.col("id").alias("t"), F.get("classes", F.lit(0)).alias("t_class")), "t")
     return x.select("h", F.col("r").cast("long").alias("r"), "t", "text", "h_class", "t_class")
 
@@ -208,8 +208,7 @@ ETA = (
 
 @query("kg_compatibility", "SELECT id, rid::BIGINT AS r, round(eta, 6) AS eta, why AS eta_relation FROM eta WHERE id < 10000000", more=ETA)
 def _(graph):
-    ids = graph.entities.where("id < 10000000")
-    items = ids.select("id", "classes", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("r"), F.array(F.lit(rng)).alias("ranges")) for r, _, _, rng in star_kg.RELATIONS))).alias("x")).select("id", "classes", "x.*")
+    items = graph.entities.select("id", "classes", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("r"), F.array(F.lit(rng)).alias("ranges")) for r, _, _, rng in star_kg.RELATIONS))).alias("x")).select("id", "classes", "x.*")
     return ontology.compatibility(items, graph.judgements, ["id", "r"]).select("id", "r", r6("eta").alias("eta"), "eta_relation")
 
 
