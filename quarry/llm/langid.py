@@ -27,8 +27,13 @@ TRAIN_PER_LANGUAGE = 1500
 #: Bytes of text scanned at a time; the table of trigram vectors that are present stays small.
 STEP = 1 << 20
 UNDETERMINED = "und"
-#: A text that is less like every language than this is rejected where languages are required.
+#: A text that is less like every language than this is rejected where languages are required, however short.
 LEAST_SCORE = 0.01
+#: A text of so many letters is long enough to be judged by its score; letter junk and texts in other languages score
+#: below this quantile of such learning texts.
+ENOUGH_LETTERS, LOW_QUANTILE = 40, 0.002
+#: The best chance cosine stays below four deviations; no bound is lower.
+CHANCE = 4 / DIMENSIONS**0.5
 
 
 @lru_cache(maxsize=1)
@@ -119,8 +124,19 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str
     chosen without reading texts.  Rows with a null language or id are not learnt from; an empty
     table gives no language.
     """
-    spark = labelled.sparkSession
-    prepare(spark)
+    parts = _sample(labelled, per_language, id_col, text_col, lang_col).mapInArrow(_learn, "lang string, vec array<double>")
+    sums = parts.select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).collect()  # DIMENSIONS rows a language
+    names = sorted({r["lang"] for r in sums})
+    v = np.zeros((len(names), DIMENSIONS))
+    for r in sums:
+        v[names.index(r["lang"]), r["pos"]] = r["x"]
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return Profiles(names, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32))
+
+
+def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(l, t): language and text of the rows that are learnt from."""
+    prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("i is not null and l is not null")
     # a draw from the id; the cut leaves about three times the sample of each language to be ranked, however many rows there are
     drawn = rows.select("i", "l", F.pmod(F.xxhash64("i"), F.lit(1 << 40)).alias("draw"))
@@ -129,38 +145,45 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str
     order = Window.partitionBy("l").orderBy("draw", "i")
     chosen = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select(F.col("i").alias("j"), F.col("l").alias("m")).distinct()
     # at most per_language rows for each language: of a size that is bounded by the parameter
-    texts = rows.join(F.broadcast(chosen), (F.col("i") == F.col("j")) & (F.col("l") == F.col("m")), "left_semi")
-    parts = texts.select("l", "t").mapInArrow(_learn, "lang string, vec array<double>")
-    sums = parts.select("lang", F.posexplode("vec")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).collect()  # DIMENSIONS rows a language
-    names = sorted({r["lang"] for r in sums})
-    v = np.zeros((len(names), DIMENSIONS))
-    for r in sums:
-        v[names.index(r["lang"]), r["pos"]] = r["x"]
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return Profiles(names, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32))
+    return rows.join(F.broadcast(chosen), (F.col("i") == F.col("j")) & (F.col("l") == F.col("m")), "left_semi").select("l", "t")
+
+
+def least_score(labelled: DataFrame, profiles: Profiles, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score below which a text of ENOUGH_LETTERS is in no learnt language: LOW_QUANTILE of the rows of `fit`, CHANCE at least."""
+    texts = _sample(labelled, per_language, id_col, text_col, lang_col)
+    said = texts.mapInArrow(_predict(profiles, letters=True), "first string, lang_pred string, score double, letters long")
+    low = said.where(F.col("letters") >= ENOUGH_LETTERS).agg(F.percentile("score", F.lit(LOW_QUANTILE)).alias("q")).first()["q"]
+    return max(low or 0.0, CHANCE)
 
 
 def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], list[float]]:
     """The nearest language of each text and its cosine, cut to 0 at least."""
+    return _classify(texts, profiles)[:2]
+
+
+def _classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], list[float], list[int]]:
+    """What `classify` gives, and how many letters each text has."""
     v, letters = bundles(texts)
     if not profiles.names:
-        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts), letters.tolist()
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     cos = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ profiles.vectors.T
     best = np.argmax(cos, axis=1)
     score = np.clip(cos[np.arange(len(texts)), best].astype(np.float64), 0.0, 1.0)
-    return [profiles.names[b] if n else UNDETERMINED for b, n in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters > 0, score, 0.0).tolist()
+    return [profiles.names[b] if n else UNDETERMINED for b, n in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters > 0, score, 0.0).tolist(), letters.tolist()
 
 
-def _predict(profiles: Profiles):
+def _predict(profiles: Profiles, letters: bool = False):
     def run(batches):
         for batch in batches:
-            names, scores = [], []
+            names, scores, sizes = [], [], []
             for _, _, texts in _steps(batch.column(1)):
-                a, b = classify(texts, profiles)
+                a, b, n = _classify(texts, profiles)
                 names += a
                 scores += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["first", "lang_pred", "score"])
+                sizes += n
+            out = {"first": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield pa.RecordBatch.from_pydict(out | ({"letters": pa.array(sizes, pa.int64())} if letters else {}))
 
     return run
 
@@ -177,11 +200,15 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return src.mapInArrow(_predict(profiles), "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
-    """The rows of a table, with all its columns, whose text has a language: not `und`, and a score of at least `least`."""
+def recognised(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE, text_col: str = "text", bound: float = CHANCE) -> DataFrame:
+    """The rows of a table, with all its columns, whose text has a language: not `und`, and a score of at least `least`.
+
+    A text of ENOUGH_LETTERS needs a score of `bound`; the score of a shorter one says too little to reject it.
+    """
     prepare(docs.sparkSession)
-    said = carried(docs, _predict(profiles), "lang_pred string, score double", text_col)
-    return uncarried(said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)), docs.columns)
+    said = carried(docs, _predict(profiles, letters=True), "lang_pred string, score double, letters long", text_col)
+    need = F.when(F.col("letters") >= ENOUGH_LETTERS, F.greatest(F.lit(least), F.lit(bound))).otherwise(F.lit(least))
+    return uncarried(said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= need)), docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
