@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
+from . import textscan as ts
 from .substring import _restore_null
 from .tables import documents
 
@@ -29,11 +30,35 @@ def shape(window: int = WINDOW) -> spans.Shape:
     return spans.Shape("byte", window, max(1, window - 144))
 
 
-def _remove(sh: spans.Shape, as_text: bool):
+def word_shape(words: int) -> spans.Shape:
+    return spans.Shape("word", words, max(1, words * 16 // 25))
+
+
+def _word_bytes(buf: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The bytes of the words that go, and what lies between two of them in a text."""
+    starts, ends, first = ts.words(buf, offs)
+    of = ts.of_docs(first)
+    next_too = gone[:-1] & gone[1:] & (of[:-1] == of[1:])
+    ends = ends.copy()
+    ends[:-1][next_too] = starts[1:][next_too]
+    step = np.bincount(starts[gone], minlength=len(buf) + 1) - np.bincount(ends[gone], minlength=len(buf) + 1)
+    return np.cumsum(step)[:-1] > 0
+
+
+def _marked(sh: spans.Shape, by_words: spans.Shape | None, batch: pa.RecordBatch):
+    """(bytes, offsets, bytes that go) of each step: by runs in columns 2 to 4, and by runs of words in 5 to 7."""
+    if by_words is None:
+        yield from ((buf, offs, gone) for _, _, buf, offs, _, gone in spans.marked(sh, batch))
+        return
+    for a, b in zip(spans.marked(sh, batch), spans.marked(by_words, batch.select([0, 1, 5, 6, 7])), strict=True):
+        yield a[2], a[3], a[5] | _word_bytes(b[2], b[3], b[5]) if len(b[5]) else a[5]
+
+
+def _remove(sh: spans.Shape, as_text: bool, by_words: spans.Shape | None = None):
     def run(batches):
         for batch in batches:
             n_bytes, n_removed, n_spans, digest, text = [], [], [], [], []
-            for _, _, buf, offs, _, gone in spans.marked(sh, batch):
+            for buf, offs, gone in _marked(sh, by_words, batch):
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = np.diff(total[offs])
                 begins = gone.copy()
@@ -68,17 +93,28 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col
     return _restore_null(out)
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_both(src: DataFrame, by_bytes: DataFrame, by_words: DataFrame) -> DataFrame:
+    """What `spans.with_runs` gives for `row`, and the lists of runs of words; texts move once."""
+    runs = by_bytes.select("doc", "at", "n", "u", F.lit(False).alias("w")).unionByName(by_words.select("doc", "at", "n", "u", F.lit(True).alias("w")))
+    lists = runs.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("at", "n", "u", "w")).alias("l"))
+    empty = F.array().cast("array<long>")
+    part = lambda keep, c: F.coalesce(F.transform(F.filter("l", keep), lambda x: x[c]), empty)
+    return src.join(lists, "d", "left").select("row", "text", *(part(lambda x: ~x["w"], c).alias(c) for c in ("at", "n", "u")), *(part(lambda x: x["w"], c).alias(f"w_{c}") for c in ("at", "n", "u")))
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """All columns of a table, its texts without the bytes that `dedup` removes; n_chars, if there, counts what is left.
 
-    A character that a cut divides goes as a whole.  Every row stays, if need be with an empty text.
+    With `words`, strings of so many words that start anywhere else go as well, however few bytes they have.  A character that a cut divides goes as a whole.  Every row stays, if need be with an empty text.
     """
     sh, rest = shape(window), [c for c in docs.columns if c != text_col]
     row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_"))
     src = spans.prepared(docs, id_col, text_col, row.alias("row"))
-    marked = spans.with_runs(src, spans.repeated(src.select("d", "text"), sh, ordered=False), "row")
+    texts, by_words = src.select("d", "text"), word_shape(words) if words else None
+    runs = spans.repeated(texts, sh, ordered=False)
+    marked = _with_both(src, runs, spans.repeated(texts, by_words, ordered=False)) if by_words else spans.with_runs(src, runs, "row")
     kind = marked.schema["row"].dataType.simpleString()
-    out = marked.mapInArrow(_remove(sh, True), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    out = marked.mapInArrow(_remove(sh, True, by_words), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     cols = {c: F.col(f"row.`{c}`") for c in rest} | {text_col: F.col("kept")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
