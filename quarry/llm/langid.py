@@ -149,11 +149,14 @@ def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str,
 
 
 def least_score(labelled: DataFrame, profiles: Profiles, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """The score below which a text of ENOUGH_LETTERS is in no learnt language: LOW_QUANTILE of the rows of `fit`, CHANCE at least."""
+    """The score below which a text of ENOUGH_LETTERS is in no learnt language: LOW_QUANTILE of the rows of `fit`, CHANCE at least.
+
+    Fewer than 1 / LOW_QUANTILE rows do not tell that quantile; the bound then is CHANCE.
+    """
     texts = _sample(labelled, per_language, id_col, text_col, lang_col)
     said = texts.mapInArrow(_predict(profiles, letters=True), "first string, lang_pred string, score double, letters long")
-    low = said.where(F.col("letters") >= ENOUGH_LETTERS).agg(F.percentile("score", F.lit(LOW_QUANTILE)).alias("q")).first()["q"]
-    return max(low or 0.0, CHANCE)
+    low = said.where(F.col("letters") >= ENOUGH_LETTERS).agg(F.count("*").alias("n"), F.percentile("score", F.lit(LOW_QUANTILE)).alias("q")).first()
+    return max(low["q"], CHANCE) if low["n"] * LOW_QUANTILE >= 1 else CHANCE
 
 
 def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], list[float]]:
