@@ -61,14 +61,17 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[n
     n = len(offs) - 1
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    seq = ts.Prefix(ts.Prefix(buf).ranges(starts, ends), 1)
+    word = ts.range_hashes(buf, starts, ends)
     size = np.diff(first)
     last = np.repeat(first[1:], size)  # one after the last word of the document
     at = np.arange(len(starts))
     whole = at + k <= last
     short = (at == np.repeat(first[:-1], size)) & ~whole
     keep = np.flatnonzero(whole | short)
-    h = seq.ranges(keep, np.minimum(keep + k, last[keep]))
+    h, left = word[keep], last[keep] - keep
+    for j in range(1, k):  # a short document ends its shingle with a mark for each missing word
+        h = ts.join(h, np.where(left > j, word[np.minimum(keep + j, len(word) - 1)], np.uint64(j)))
+    h = ts.mix(h)
     doc = ts.of_docs(first)[keep]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]

@@ -253,24 +253,27 @@ class Pieces:
 
     def __init__(self, buf, starts, ends, doc, flags):
         self.doc = doc
-        a, b = ts.Prefix(buf, 0), ts.Prefix(buf, 1)
-        h = a.ranges(starts, ends) ^ flags.astype(np.uint64)
-        check = b.ranges(starts, ends)
+        eight, size = ts.octets(buf), ends - starts
+        h = ts.range_hashes(buf, starts, ends, eight) ^ flags.astype(np.uint64)
         order = np.argsort(h, kind="stable")
-        hs, cs = h[order], check[order]
+        hs = h[order]
         new = np.empty(len(h), bool)
         if len(h):
             new[0] = True
-            # 128 bits tell pieces apart; where only 64 agree, the sort is redone on both
-            new[1:] = hs[1:] != hs[:-1]
-            if np.any(~new[1:] & (cs[1:] != cs[:-1])):
-                order = np.lexsort((check, h))
-                hs, cs = h[order], check[order]
-                new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
+            np.not_equal(hs[1:], hs[:-1], out=new[1:])
         self.of = np.empty(len(h), np.int64)
         self.of[order] = np.cumsum(new) - 1
         rep = order[new]
         raw = buf.tobytes()
+        # a hash only brings pieces together: each is compared with the first of its group
+        like = rep[self.of]
+        same = (size == size[like]) & (flags == flags[like])
+        same &= ts.equal_ranges(buf, starts, starts[like], np.where(same, size, 0), eight)
+        if not same.all():
+            table: dict = {}
+            of = [table.setdefault((raw[s:e], f), len(table)) for s, e, f in zip(starts.tolist(), ends.tolist(), flags.tolist(), strict=True)]
+            self.of = np.array(of, np.int64)
+            rep = np.unique(self.of, return_index=True)[1]
         self.distinct = [raw[s:e] for s, e in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)]
         self.flags = flags[rep].tolist()
 

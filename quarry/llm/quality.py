@@ -61,10 +61,24 @@ POLICIES = {
 }
 
 
-def _same_before(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For items in text order: whether an equal one of the same document came before, and whether any equal one exists."""
+def _same_before(doc: np.ndarray, h: np.ndarray, equal) -> tuple[np.ndarray, np.ndarray]:
+    """For items in text order: whether an equal one of the same document came before, and whether any equal one exists.
+
+    equal(i, j): whether items i and j have the same text; hashes only bring candidates together.
+    """
     order = np.argsort(h, kind="stable")
     again = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    near = np.flatnonzero(again)
+    if len(near) and not equal(order[near], order[near + 1]).all():  # one hash, several texts: told apart by number
+        number, seen = np.arange(len(h), dtype=np.uint64), {}
+        for i in order.tolist():
+            firsts = seen.setdefault((int(doc[i]), int(h[i])), [])
+            j = next((f for f in firsts if equal(np.array([f]), np.array([i]))[0]), None)
+            if j is None:
+                firsts.append(i)
+            else:
+                number[i] = j
+        return _same_before(doc, number, lambda i, j: np.ones(len(i), bool))
     before = np.zeros(len(h), bool)
     before[order[1:]] = again
     either = before.copy()
@@ -84,7 +98,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     table[list(SYMBOLS.encode())] = True
     out["n_symbols"] = add(table[buf])
 
-    prefix = ts.Prefix(buf)
+    eight = ts.octets(buf)
     # lines: between line feeds; only those that hold a word count
     cuts = np.unique(np.concatenate([offs[:-1], np.flatnonzero(buf == 0x0A) + 1, [len(buf)]]))
     cuts = cuts[cuts <= len(buf)]
@@ -93,17 +107,20 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     b = np.where((b > a) & (buf[np.maximum(b - 1, 0)] == 0x0A), b - 1, b) if len(buf) else b
     worded = np.searchsorted(starts, b) > np.searchsorted(starts, a)
     a, b, doc = a[worded], b[worded], doc[worded]
-    again, _ = _same_before(doc, prefix.ranges(a, b))
+    same_line = lambda i, j: (b[i] - a[i] == b[j] - a[j]) & ts.equal_ranges(buf, a[i], a[j], np.minimum(b[i] - a[i], b[j] - a[j]), eight)
+    again, _ = _same_before(doc, ts.range_hashes(buf, a, b, eight), same_line)
     out["n_lines"] = np.bincount(doc, minlength=n)
     out["n_dup_lines"] = np.bincount(doc[again], minlength=n)
 
     # three-word windows inside one document
-    word = prefix.ranges(starts, ends)
+    word = ts.range_hashes(buf, starts, ends, eight)
     of = ts.of_docs(first)
-    h = ts.Prefix(word, 1).windows(3)
+    h = ts.Windows(word).of(3)
     inside = of[: len(h)] == of[2 : 2 + len(h)]
     at = np.flatnonzero(inside)
-    _, twice = _same_before(of[at], h[at])
+    long = ends - starts
+    same_word = lambda i, j: (long[i] == long[j]) & ts.equal_ranges(buf, starts[i], starts[j], np.minimum(long[i], long[j]), eight)
+    _, twice = _same_before(of[at], h[at], lambda i, j: same_word(at[i], at[j]) & same_word(at[i] + 1, at[j] + 1) & same_word(at[i] + 2, at[j] + 2))
     cover = np.zeros(len(word) + 1, np.int64)
     hit = at[twice]
     cover[hit] += 1

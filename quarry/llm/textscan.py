@@ -2,12 +2,14 @@
 
 Every text operator of this subpackage reads whole texts as one UTF-8 byte buffer with
 document offsets and works on NumPy arrays over it, so no Python code runs per word or per
-byte.  Hashes are polynomial prefix sums modulo 2**64: the hash of any byte range or word
-range costs three array operations, whatever its length.
+byte.  Hashes mix after every eight bytes or every item, so no input makes them collide by its
+structure as it does with sums of powers; where equality decides a result, `equal_ranges` compares
+the bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,11 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are scanned at a time; bounds the memory of one step (a longer
 #: document is a step of its own).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
+#: Most keys that `sliding_argmin` takes at a time, as a power of two.
+PLACE_BITS = 22
+#: Ranges of more bytes are hashed and compared one by one.
+LONG_RANGE = 1024
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -24,59 +30,120 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_R = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
-_TAB = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for s in (11, 12)]
-_pow: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of an odd number modulo 2**64; kept, and grown by doubling."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        p = np.full(m, base, np.uint64)
-        p[0] = 1
-        have = _pow[base] = np.cumprod(p, dtype=np.uint64)
-    return have[:n]
-
-
-_INV = [_U(pow(int(r), -1, 2**64)) for r in _R]
+_A, _B, _SEED = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0x2545F4914F6CDD1D)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of MurmurHash3)."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
+    x *= _U(0xFF51AFD7ED558CCD)
     x ^= x >> _U(33)
-    x = x * _U(0xC4CEB9FE1A85EC53)
+    x *= _U(0xC4CEB9FE1A85EC53)
     x ^= x >> _U(33)
     return x
 
 
-class Prefix:
-    """Hashes of any range of a sequence of bytes or of 64-bit words."""
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two things in order, from their hashes."""
+    x = a * _A
+    x ^= x >> _U(32)
+    x += b
+    x *= _B
+    x ^= x >> _U(29)
+    return x
 
-    def __init__(self, items: np.ndarray, seed: int = 0):
-        self.seed = seed
-        vals = _TAB[seed][items] if items.dtype == np.uint8 else items
-        p = np.empty(len(items) + 1, np.uint64)
-        p[0] = 0
-        np.cumsum(vals * _powers(int(_R[seed]), len(items)), out=p[1:])
-        self.p = p
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hash of items [start, end) for each pair."""
-        d = (self.p[end] - self.p[start]) * _powers(int(_INV[self.seed]), len(self.p))[start]
-        return mix(d + (end - start).astype(np.uint64) * _U(0x9FB21C651E98DF25))
+def octets(buf: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place on, as a number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 8,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """The hash of bytes [start, end) for each pair: eight bytes at a time, the few long ranges by BLAKE2."""
+    eight = octets(buf) if eight is None else eight
+    size = ends - starts
+    h = mix(size.astype(np.uint64) ^ _SEED)
+    long = np.flatnonzero(size > LONG_RANGE)
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    live, at, left = None, starts, size
+    if len(long):
+        live = np.flatnonzero(size <= LONG_RANGE)
+        at, left = starts[live], size[live]
+    while len(at):
+        piece = eight[at] & _MASK[np.minimum(left, 8)]
+        if live is None:
+            h = join(h, mix(piece))
+        else:
+            h[live] = join(h[live], mix(piece))
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    return mix(h)
+
+
+def equal_ranges(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """Whether `size` bytes from a equal those from b, byte by byte, for each pair."""
+    eight = octets(buf) if eight is None else eight
+    same = np.ones(len(a), bool)
+    live = np.flatnonzero((a != b) & (size > 0))
+    long = live[size[live] > LONG_RANGE]
+    for k in long.tolist():
+        same[k] = np.array_equal(buf[a[k] : a[k] + size[k]], buf[b[k] : b[k] + size[k]])
+    live = live[size[live] <= LONG_RANGE]
+    at, to, left = a[live], b[live], size[live]
+    while len(live):
+        ok = ((eight[at] ^ eight[to]) & _MASK[np.minimum(left, 8)]) == 0
+        same[live[~ok]] = False
+        more = np.flatnonzero(ok & (left > 8))
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return same
+
+
+class Windows:
+    """Hashes of every run of k consecutive items, for any k, built from runs of half the length.
+
+    Items are bytes or 64-bit words that are hashes already.
+    """
 
-    def windows(self, k: int) -> np.ndarray:
-        """Mixed hash of every k consecutive items."""
-        n = len(self.p) - k
-        if n <= 0:
+    def __init__(self, items: np.ndarray):
+        self.n = len(items)
+        if items.dtype == np.uint8:  # runs of eight bytes are read as they are
+            self.least, self.levels = 8, {8: mix(octets(items)[: max(0, self.n - 7)])}
+        else:
+            self.least, self.levels = 1, {1: items}
+        self.items = items
+
+    def level(self, k: int) -> np.ndarray:
+        if k not in self.levels:
+            half = self.level(k // 2)
+            m = max(0, self.n - k + 1)
+            self.levels[k] = join(half[:m], half[k // 2 : k // 2 + m])
+        return self.levels[k]
+
+    def of(self, k: int) -> np.ndarray:
+        """One hash for each of the n - k + 1 runs."""
+        m = self.n - k + 1
+        if m <= 0:
             return np.empty(0, np.uint64)
-        d = self.p[k:] - self.p[:n]
-        d *= _powers(int(_INV[self.seed]), len(self.p))[:n]
-        return mix(d + np.array([k], np.uint64) * _U(0x9FB21C651E98DF25))
+        if k < self.least:
+            at = np.arange(m)
+            return range_hashes(self.items, at, at + k)
+        h, done = None, 0
+        for p in range(k.bit_length() - 1, -1, -1):
+            if k >> p & 1:
+                if 1 << p < self.least:  # the last few bytes: a run that overlaps
+                    part, done = self.level(self.least)[k - self.least :][:m], k
+                else:
+                    part = self.level(1 << p)[done:][:m]
+                    done += 1 << p
+                h = part if h is None else join(h, part)
+                if done == k:
+                    break
+        return mix(h)
 
 
 def as_signed(x: np.ndarray) -> pa.Array:
@@ -147,8 +214,8 @@ def sliding_argmin(key: np.ndarray, w: int) -> np.ndarray:
     n = len(key) - w + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    # the low bits hold the position inside the step, so the smallest is the leftmost of equals
-    bits = _U(max(1, int(len(key)).bit_length()))
+    # the low bits hold the position, so the smallest is the leftmost of equals; as many bits for every length
+    bits = _U(PLACE_BITS)
     packed = ((key >> bits) << bits) | np.arange(len(key), dtype=np.uint64)
     low = (_U(1) << bits) - _U(1)
     if w == 1:

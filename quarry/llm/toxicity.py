@@ -52,8 +52,8 @@ IDENTITY_TERMS = (
 )
 
 
-def _hash_bins(prefix: ts.Prefix, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    return ((prefix.ranges(starts, ends) ^ ts.mix(np.array([salt], np.uint64))) >> np.uint64(44)).astype(np.int32)
+def _hash_bins(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int, eight: np.ndarray) -> np.ndarray:
+    return ((ts.range_hashes(buf, starts, ends, eight) ^ ts.mix(np.array([salt], np.uint64))) >> np.uint64(44)).astype(np.int32)
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +68,13 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     end = np.append(start[1:], len(buf))
     word = cls[start] == ps.LETTER
     start, end = start[word], end[word]
-    prefix = ts.Prefix(buf)
+    eight = ts.octets(buf)
     doc = np.searchsorted(offs, start, side="right") - 1
-    docs, bins = [doc], [_hash_bins(prefix, start, end, 0)]
+    docs, bins = [doc], [_hash_bins(buf, start, end, 0, eight)]
     for k in BEGINNINGS:
         long = end - start > k
         docs.append(doc[long])
-        bins.append(_hash_bins(prefix, start[long], start[long] + k, k))
+        bins.append(_hash_bins(buf, start[long], start[long] + k, k, eight))
     return np.concatenate(docs), np.concatenate(bins)
 
 

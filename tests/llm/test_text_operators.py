@@ -45,9 +45,22 @@ def test_windows_and_minima():
     items = np.array([5, 1, 1, 4, 0, 9, 9, 2], np.uint64) << np.uint64(40)
     for w in (1, 2, 3, 8):
         assert textscan.sliding_argmin(items, w).tolist() == [i + int(np.argmin(items[i : i + w])) for i in range(len(items) - w + 1)]
-    p = textscan.Prefix(items)
-    assert p.windows(3).tolist() == p.ranges(np.arange(6), np.arange(3, 9)).tolist()
-    assert len(textscan.sliding_argmin(items, 9)) == 0 and len(p.windows(9)) == 0
+    assert len(textscan.sliding_argmin(items, 9)) == 0 and len(textscan.Windows(items).of(9)) == 0
+    for line in (b"abracadabra abracadabra abracadabra abracadabra abracadabra!" * 3, b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab"):
+        buf = np.frombuffer(line, np.uint8)
+        for k in (1, 3, 7, 8, 9, 12, 16, 20, 23, 60):
+            for h in (textscan.Windows(buf).of(k), textscan.Windows(buf.astype(np.uint64)).of(k), textscan.range_hashes(buf, np.arange(len(buf) - k + 1), np.arange(k, len(buf) + 1))):
+                assert [h[i] == h[0] for i in range(len(h))] == [line[i : i + k] == line[:k] for i in range(len(h))]
+
+
+def test_ranges_are_told_apart_by_bytes():
+    raw = b"".join([b"x" * 2000, b"y", b"x" * 2000, b"z", b"ab", b"ab\0"])
+    buf = np.frombuffer(raw, np.uint8)
+    s, e = np.array([0, 2001, 0, 4002, 4004]), np.array([2000, 4001, 1999, 4004, 4007])
+    h = textscan.range_hashes(buf, s, e)
+    assert h[0] == h[1] and len(set(h.tolist())) == 4
+    a, b, n = np.array([0, 0, 0, 4002, 4002, 7]), np.array([2001, 1, 2001, 4004, 4004, 7]), np.array([2000, 2000, 2001, 2, 3, 0])
+    assert textscan.equal_ranges(buf, a, b, n).tolist() == [raw[i : i + k] == raw[j : j + k] for i, j, k in zip(a, b, n)]
 
 
 def test_words_do_not_cross_documents():
