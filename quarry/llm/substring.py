@@ -1,12 +1,14 @@
 """Substring deduplication by compaction of a De Bruijn graph over words.
 
-Thirteen consecutive words are an edge of the graph.  Edges that follow each other and share their
-smallest five-word gram form a path that never branches inside its text; equal paths meet by that
-gram, and the compacted path, not its edges, is what is joined.  A path that occurs as a whole in a
-document with a smaller id is repeated as a whole; where paths of one gram differ, their edges are
-compared singly.  Repeated paths keep the coordinates of their source: the text at the coordinates
-is checked before words are removed, and paths that go on at the next coordinates of the same
-source are glued to long spans.
+Thirteen consecutive words are an edge of the graph, the twelve words that two edges share a node.
+Edges meet in buckets by their smallest five-word gram; edges that follow each other in one bucket
+make a stretch.  A stretch that is alone in its bucket once is dropped, and one that is alone in it
+several times cannot branch inside.  Stretches that share a bucket with a different one are opened
+into single edges, and equal edges are found by their words.  What is left are the repeated edges, in
+runs with the coordinates of their source.  `compacted` links runs that follow each other in a
+document, counts by Spark joins how many runs follow and precede each, and joins those that have
+one successor and one predecessor to paths.  The words at a path's source coordinates are compared
+with its own before anything is removed.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import spans
 from . import textscan as ts
-from .tables import documents
+from .tables import cut, documents
 
 WINDOW = 13
 #: Words of the grams that anchor paths.
@@ -50,7 +52,7 @@ def _remove(sh: spans.Shape, as_text: bool):
     def run(batches):
         for batch in batches:
             n_words, n_removed, digest, text = [], [], [], []
-            for _, _, buf, offs, first, gone in spans.marked(sh, batch):
+            for buf, offs, ((first, gone),) in spans.marked(batch, sh):
                 starts, ends, _ = ts.words(buf, offs)
                 n_words += np.diff(first).tolist()
                 n_removed += np.diff(np.concatenate([[0], np.cumsum(gone)])[first]).tolist()
@@ -62,8 +64,30 @@ def _remove(sh: spans.Shape, as_text: bool):
     return run
 
 
-def _restore_null(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_id", F.when(F.col("doc_id") != spans.NO_ID, F.col("doc_id")))
+def compacted(runs: DataFrame) -> DataFrame:
+    """Runs (doc, at, n, sdoc, sat) joined along nodes that do not branch; what a path covers does not change.
+
+    Equal runs have equal sources.  Two that follow each other without a gap, in a document and in
+    the source, become one where the first has no other successor and the second no other
+    predecessor in any document.
+    """
+    names = ("sdoc", "sat", "n")
+    here = Window.partitionBy("doc").orderBy("at", "sdoc", "sat", "n")
+    after = F.lead(F.struct("at", *names)).over(here)
+    links = runs.select(F.struct(*names).alias("a"), "at", after.alias("z")).where(F.col("z.at") == F.col("at") + F.col("a.n"))
+    links = cut(links.select("a", F.struct(*(F.col(f"z.{c}").alias(c) for c in names)).alias("b")).distinct(), "links")
+    only_next = links.groupBy("a").agg(F.count("*").alias("k"), F.first("b").alias("b")).where("k = 1").select("a", "b")
+    only_before = links.groupBy("b").agg(F.count("*").alias("k"), F.first("a").alias("a")).where("k = 1").select("a", "b")
+    plain = only_next.join(only_before, ["a", "b"]).where((F.col("a.sdoc") == F.col("b.sdoc")) & (F.col("a.sat") + F.col("a.n") == F.col("b.sat")))
+    on = plain.select(*(F.col(f"b.{c}").alias(c) for c in names), F.lit(True).alias("joins"))
+    seen = runs.join(on, list(names), "left")
+    stop = F.lag(F.col("at") + F.col("n")).over(here)
+    path = seen.withColumn("new", F.when(F.col("joins") & (stop == F.col("at")), 0).otherwise(1)).withColumn("k", F.sum("new").over(here))
+    return path.groupBy("doc", "k").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.min_by("sdoc", "at").alias("sdoc"), F.min_by("sat", "at").alias("sat")).drop("k")
+
+
+def _paths(known: DataFrame, sh: spans.Shape) -> DataFrame:
+    return cut(compacted(cut(spans.repeated(known, sh, ordered=True), "runs")), "paths")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,23 +100,23 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col
     never cross documents and are judged on the input.  Other columns are not read.
     """
     src, sh = spans.prepared(docs, id_col, text_col), shape(window)
-    runs = spans.repeated(src, sh, ordered=True)
-    out = spans.with_runs(src, runs).mapInArrow(_remove(sh, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return _restore_null(out)
+    known = spans.stored(src.where(F.col("d") != spans.NO_ID))
+    sure = spans.confirmed(known, sh, _paths(known, sh))
+    none = (F.array().cast(f"array<{t}>").alias(c) for c, t in (("at", "long"), ("n", "long"), ("g", "binary")))
+    nameless = src.where(F.col("d") == spans.NO_ID).select(F.lit(None).cast("long").alias("d"), "text", *none)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return spans.listed(known, sure, "at", "n", "g", how="left").unionByName(nameless).mapInArrow(_remove(sh, with_text), schema)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Long repeated spans: doc_id, start and n_words in it, source_id and source_start in the source.
 
-    Paths of a document whose source coordinates go on without a gap are one span.
+    Runs of a document whose source coordinates go on without a gap are one span.  Rows without an id have none.
     """
     src, sh = spans.prepared(docs, id_col, text_col), shape(window)
-    runs = spans.repeated(src, sh, ordered=True, sources=True).withColumn("shift", F.col("sat") - F.col("at"))
-    along = Window.partitionBy("doc", "sdoc", "shift").orderBy("at")
-    end = F.max(F.col("at") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    piece = runs.withColumn("new", F.when(F.col("at") <= end, 0).otherwise(1)).withColumn("k", F.sum("new").over(along))
-    glued = piece.groupBy("doc", "sdoc", "shift", "k").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("n")).alias("stop"))
-    return glued.select(F.col("doc").alias("doc_id"), "start", (F.col("stop") - F.col("start") + window - 1).alias("n_words"), F.col("sdoc").alias("source_id"), (F.col("start") + F.col("shift")).alias("source_start"))
+    known = spans.stored(src.where(F.col("d") != spans.NO_ID))
+    runs = spans.glued(spans.repeated(known, sh, ordered=True))
+    return runs.select(F.col("doc").alias("doc_id"), F.col("at").alias("start"), (F.col("n") + window - 1).alias("n_words"), F.col("sdoc").alias("source_id"), F.col("sat").alias("source_start"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
