@@ -497,10 +497,43 @@ def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _windows(shape: Shape):
-    """(key, check, document, place) of each window of some stretches."""
+#: Windows that a task holds to settle equal ones among them before they are dealt.
+HELD_WINDOWS = 100_000
+#: kind SETTLED: (doc, at) repeats (sdoc, sat); WIDE: to be dealt by its text, u and c.
+SINGLE = "u long, c int, doc long, at long, sdoc long, sat long, kind int"
+
+
+def _singles(u, c, doc, at, sdoc, sat, kind):
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int32)), pa.array(doc), pa.array(at), pa.array(np.broadcast_to(sdoc, n)), pa.array(np.broadcast_to(sat, n)), pa.array(np.full(n, kind, np.int32))], names=["u", "c", "doc", "at", "sdoc", "sat", "kind"])
+
+
+def _equals(u, c, doc, at, ordered: bool):
+    """Of windows sorted by u, c, doc, at: the first and another of each one's group, and whether the window is repeated."""
+    new = np.append(True, (u[1:] != u[:-1]) | (c[1:] != c[:-1]))
+    number = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)[number]
+    if ordered:
+        return lead, lead, doc > doc[lead]
+    size = np.bincount(number)[number]
+    return lead, np.where(np.arange(len(u)) == lead, np.minimum(lead + 1, len(u) - 1), lead), size > 1
+
+
+def _windows(shape: Shape, ordered: bool):
+    """The windows of some stretches; equal ones that a task sees together are settled, and one of them stands for them."""
+
+    def settle(rows):
+        u, c, doc, at = (np.concatenate(v) for v in zip(*rows, strict=True))
+        order = np.lexsort((at, doc, c, u))
+        u, c, doc, at = u[order], c[order], doc[order], at[order]
+        lead, other, twice = _equals(u, c, doc, at, ordered)
+        left = ~twice if ordered else ~twice | (np.arange(len(u)) == lead)
+        if twice.any():
+            yield _singles(u[twice], c[twice], doc[twice], at[twice], doc[other[twice]], at[other[twice]], SETTLED)
+        yield _singles(u[left], c[left], doc[left], at[left], 0, 0, WIDE)
 
     def run(batches):
+        rows, held = [], 0
         for batch in batches:
             for ids, plain, starts, ends, first, (at, n) in _places(shape, batch, 2):
                 for z in range(0, len(ids), 500):
@@ -513,7 +546,35 @@ def _windows(shape: Shape):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SUMS[items] if items.dtype == np.uint8 else items, dtype=np.uint64)])
                     key = ts.Windows(items).of(shape.window)[a - lo]
                     check = ts.mix(sums[a - lo + shape.window] - sums[a - lo]) >> np.uint64(40)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((check.view(np.int64) << 32) | place), pa.array(np.repeat(ids[s], m))], names=["u", "x", "doc"])
+                    rows.append((key.view(np.int64), check.view(np.int64), np.repeat(ids[s], m), place))
+                    held += len(place)
+                    if held >= HELD_WINDOWS:
+                        yield from settle(rows)
+                        rows, held = [], 0
+        if rows:
+            yield from settle(rows)
+
+    return run
+
+
+def _dealt_windows(ordered: bool):
+    """Settles windows that come sorted by u, c, doc, at; of an earlier batch only the first of its last group is kept."""
+
+    def run(batches):
+        kept, known = None, False  # that window, and whether it is settled
+        for batch in _gathered(batches):
+            u, c, doc, at = (batch.column(k).to_numpy() for k in range(4))
+            more = kept is not None
+            if more:
+                u, c, doc, at = (np.append(k, v) for k, v in zip(kept, (u, c, doc, at), strict=True))
+            lead, other, twice = _equals(u, c, doc, at, ordered)
+            z = int(lead[-1])
+            kept, known_next = tuple(v[z] for v in (u, c, doc, at)), bool(twice[-1]) or (known if more and z == 0 else False)
+            if more and (known or ordered):
+                twice[0] = False
+            known = known_next
+            if twice.any():
+                yield _rows(doc[twice], at[twice], 1, doc[other[twice]], at[other[twice]], 0, SETTLED)
 
     return run
 
@@ -561,18 +622,11 @@ def repeated(docs: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
     sort = cut(exposed.repartition(n, "h").sortWithinPartitions("h", "doc", "at").mapInArrow(_sort(shape, ordered), GROUPS), "sorted")
     both = first.unionByName(sort)
     wide = listed(docs, both.where(F.col("kind") == WIDE), "at", "n")
-    single = cut(wide.mapInArrow(_windows(shape), "u long, x long, doc long"), "windows")
-    keyed = single.select("u", F.shiftrightunsigned("x", 32).cast("int").alias("c"), "doc", F.col("x").bitwiseAND(0xFFFFFFFF).alias("at"))
-    place = F.struct("doc", "at")
-    if ordered:
-        best = keyed.groupBy("u", "c").agg(F.min(place).alias("s"), F.max("doc").alias("most")).where("most > s.doc").select("u", "c", "s")
-        hits = keyed.join(best, ["u", "c"]).where("doc > s.doc")
-    else:
-        best = keyed.groupBy("u", "c").agg(F.count("*").alias("k"), F.min(place).alias("s"), F.max(place).alias("z")).where("k > 1").select("u", "c", "s", "z")
-        hits = keyed.join(best, ["u", "c"]).withColumn("s", F.when(place == F.col("s"), F.col("z")).otherwise(F.col("s")))
-    hits = cut(hits.select("doc", "at", F.lit(1).cast("long").alias("n"), F.col("s.doc").alias("sdoc"), F.col("s.at").alias("sat")), "hits")
-    drop(single)
-    return both.where(F.col("kind") == SETTLED).drop("h", "kind").unionByName(hits)
+    single = cut(wide.mapInArrow(_windows(shape, ordered), SINGLE), "windows")
+    left = single.where(F.col("kind") == WIDE).select("u", "c", "doc", "at")
+    hits = left.repartition(n, "u").sortWithinPartitions("u", "c", "doc", "at").mapInArrow(_dealt_windows(ordered), GROUPS)
+    seen = single.where(F.col("kind") == SETTLED).select("doc", "at", F.lit(1).cast("long").alias("n"), "sdoc", "sat")
+    return both.where(F.col("kind") == SETTLED).drop("h", "kind").unionByName(seen).unionByName(hits.drop("h", "kind"))
 
 
 def _glue(batches):

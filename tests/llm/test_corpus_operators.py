@@ -87,6 +87,8 @@ def test_suffix(spark, docs, rows, hot, monkeypatch):
     if hot:  # every document is sampled and every repeated key is frequent
         monkeypatch.setattr(spans, "SAMPLE", 1)
         monkeypatch.setattr(spans, "HOT_COUNT", 2)
+        monkeypatch.setattr(spans, "CHUNK", 64)
+        monkeypatch.setattr(spans, "HELD_WINDOWS", 50)
     w, seen = 60, {}
     raw = [(t or "").encode() for _, t in rows]
     for b in raw:
@@ -103,6 +105,9 @@ def test_suffix(spark, docs, rows, hot, monkeypatch):
         n_spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
         want.append((d, len(b), int(gone.sum()), n_spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
     monkeypatch.setattr(suffix, "shape", lambda window: spans.Shape("byte", w, 20))
+    if not hot:  # text of an anchor is sorted in small parts, or opened when it is too much
+        monkeypatch.setattr(spans, "SORT_BYTES", 500)
+        monkeypatch.setattr(spans, "HELD_BYTES", 800)
     got = [tuple(r)[:5] for r in suffix.dedup(docs, window=w).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     if hot:
