@@ -11,10 +11,10 @@ byte by byte.
 Every repeated run of windows names its source, and `confirmed` compares the text at both places.
 
 Hot keys: a bounded sample of documents names frequent stretches and anchors beforehand.  Rows of
-those stretches are settled where they are read.  Stretches of those anchors, and of any anchor
-whose text exceeds HELD_BYTES, are opened into rows of single windows, which are dealt by their own
-text and pre-aggregated, so no task receives all rows of one anchor.  What the sample misses goes
-the ordinary way; the result does not depend on it.
+those stretches are settled where they are read.  Stretches of an anchor whose text, as the sample
+foretells it or as a task finds it, exceeds HELD_BYTES or MOST_WINDOWS are opened into rows of single
+windows.  Equal ones are settled in the task that reads them, the others are dealt by their own
+text, so no task holds an anchor that does not fit.  The result does not depend on the sample.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ SAMPLE, HOT_KEYS = 32, 40_000
 HOT_COUNT = 12
 #: Rows of one anchor that a task keeps at a time.
 HELD_ROWS = 200_000
-#: Bytes of opened text that are sorted at a time, and the most that one anchor may have.
-SORT_BYTES, HELD_BYTES = 1 << 19, 1 << 21
+#: Bytes of opened text that are sorted at a time, the most that one anchor may have, and the most windows in them.
+SORT_BYTES, HELD_BYTES, MOST_WINDOWS = 1 << 19, 1 << 24, 1_500_000
 #: Windows that are hashed at a time, and bytes of text in a step: memory does not grow with a document.
 CHUNK, STEP = 1 << 17, 1 << 18
 #: Digits by which windows are sorted.
@@ -304,7 +304,8 @@ def hot_keys(docs: DataFrame, shape: Shape, ordered: bool) -> Hot:
     """
     sample = docs.where(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled_keys(shape), "h int, u long, doc long, at long")
     per = cut(sample.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")), "sample")
-    anchors = [r["h"] for r in per.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").collect()]
+    large = max(HOT_COUNT, HELD_BYTES // (SAMPLE * shape.window * (1 if shape.unit == "byte" else 7)))
+    anchors = [r["h"] for r in per.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= large).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h").collect()]
     got = per.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "u").limit(HOT_KEYS).select("u", "first.doc", "first.at").collect()
     drop(per)
     rows = sorted({r["u"]: (r["doc"], r["at"]) for r in got}.items())
@@ -360,24 +361,28 @@ def sorted_windows(shape: Shape, buf: np.ndarray, offs: np.ndarray, n: np.ndarra
     after the last are compared byte by byte.
     """
     items, first = shape.items(buf, offs)
-    text = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     pos, gid = first[text] + at, group[text].astype(np.uint64)
     live = np.arange(len(text))
-    runs, done = ts.Windows(items), 0
-    for p in range(PASSES):
-        width = shape.window * (p + 1) // PASSES - done
-        if not width or not len(live):
-            continue
-        digit = runs.of(width)[pos[live] + done]
-        done += width
-        key = ts.join(ts.mix(gid), digit)
+    ends = [shape.window * (p + 1) // PASSES for p in range(PASSES)]
+    widths = [(e, e - d) for d, e in zip([0, *ends], ends) if e > d]
+    digits = np.empty((len(widths), len(text)), np.uint64)
+    for lo in range(0, len(items), CHUNK):  # windows come in the order of their places
+        a, b = np.searchsorted(pos, (lo, lo + CHUNK))
+        if a < b:
+            runs = ts.Windows(items[lo : lo + CHUNK + shape.window])
+            for k, (end, width) in enumerate(widths):
+                digits[k, a:b] = runs.of(width)[pos[a:b] - lo + end - width]
+    for digit in digits:
+        key = ts.join(ts.mix(gid), digit[live])
         order = np.argsort(key)
         key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
+        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.empty(0, bool)
         number = np.cumsum(new) - 1
-        keep = np.bincount(number)[number] > 1
+        keep = np.bincount(number, minlength=1)[number] > 1
         live, gid = live[order[keep]], number[keep].astype(np.uint64)
+    del digits
     if not len(live):
         e = np.empty(0, np.int64)
         return e, e, e, e
@@ -476,7 +481,7 @@ def _sort(shape: Shape, ordered: bool):
                 yield from settle(h[:cut_at], *(part.column(c).to_numpy() for c in (1, 2, 3)), part.column(4).combine_chunks())
             held, rest = [], t.slice(cut_at)
             size = rest.column(4).nbytes if len(rest) else 0
-            if len(rest) and size > HELD_BYTES:
+            if len(rest) and (size > HELD_BYTES or int(rest.column(3).to_numpy().sum()) > MOST_WINDOWS):
                 wide, size = h[-1], 0
                 yield from map(_widened, rest.to_batches())
             elif len(rest):
@@ -500,12 +505,12 @@ def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 #: Windows that a task holds to settle equal ones among them before they are dealt.
 HELD_WINDOWS = 100_000
 #: kind SETTLED: (doc, at) repeats (sdoc, sat); WIDE: to be dealt by its text, u and c.
-SINGLE = "u long, c int, doc long, at long, sdoc long, sat long, kind int"
+SINGLE = "u long, c int, doc long, at long, n long, sdoc long, sat long, kind int"
 
 
-def _singles(u, c, doc, at, sdoc, sat, kind):
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int32)), pa.array(doc), pa.array(at), pa.array(np.broadcast_to(sdoc, n)), pa.array(np.broadcast_to(sat, n)), pa.array(np.full(n, kind, np.int32))], names=["u", "c", "doc", "at", "sdoc", "sat", "kind"])
+def _singles(u, c, doc, at, n, sdoc, sat, kind):
+    cols = [np.broadcast_to(v, len(doc)).astype(np.int64) for v in (u, c, doc, at, n, sdoc, sat)]
+    return pa.RecordBatch.from_arrays([pa.array(v) if k != 1 else pa.array(v.astype(np.int32)) for k, v in enumerate(cols)] + [pa.array(np.full(len(doc), kind, np.int32))], names=["u", "c", "doc", "at", "n", "sdoc", "sat", "kind"])
 
 
 def _equals(u, c, doc, at, ordered: bool):
@@ -529,8 +534,9 @@ def _windows(shape: Shape, ordered: bool):
         lead, other, twice = _equals(u, c, doc, at, ordered)
         left = ~twice if ordered else ~twice | (np.arange(len(u)) == lead)
         if twice.any():
-            yield _singles(u[twice], c[twice], doc[twice], at[twice], doc[other[twice]], at[other[twice]], SETTLED)
-        yield _singles(u[left], c[left], doc[left], at[left], 0, 0, WIDE)
+            runs = merged(doc[twice], at[twice], np.ones(int(twice.sum()), np.int64), doc[other[twice]], at[other[twice]])
+            yield _singles(0, 0, *runs, SETTLED)
+        yield _singles(u[left], c[left], doc[left], at[left], 1, 0, 0, WIDE)
 
     def run(batches):
         rows, held = [], 0
@@ -625,7 +631,7 @@ def repeated(docs: DataFrame, shape: Shape, ordered: bool) -> DataFrame:
     single = cut(wide.mapInArrow(_windows(shape, ordered), SINGLE), "windows")
     left = single.where(F.col("kind") == WIDE).select("u", "c", "doc", "at")
     hits = left.repartition(n, "u").sortWithinPartitions("u", "c", "doc", "at").mapInArrow(_dealt_windows(ordered), GROUPS)
-    seen = single.where(F.col("kind") == SETTLED).select("doc", "at", F.lit(1).cast("long").alias("n"), "sdoc", "sat")
+    seen = single.where(F.col("kind") == SETTLED).select("doc", "at", "n", "sdoc", "sat")
     return both.where(F.col("kind") == SETTLED).drop("h", "kind").unionByName(seen).unionByName(hits.drop("h", "kind"))
 
 

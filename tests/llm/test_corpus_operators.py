@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, components, minhash, spans, substring, suffix
+from quarry.llm import ann, components, minhash, spans, substring, suffix, textscan
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -87,7 +88,7 @@ def test_suffix(spark, docs, rows, hot, monkeypatch):
     if hot:  # every document is sampled and every repeated key is frequent
         monkeypatch.setattr(spans, "SAMPLE", 1)
         monkeypatch.setattr(spans, "HOT_COUNT", 2)
-        monkeypatch.setattr(spans, "CHUNK", 64)
+        monkeypatch.setattr(spans, "HELD_BYTES", 1)  # anchors are opened into single windows
         monkeypatch.setattr(spans, "HELD_WINDOWS", 50)
     w, seen = 60, {}
     raw = [(t or "").encode() for _, t in rows]
@@ -116,6 +117,47 @@ def test_suffix(spark, docs, rows, hot, monkeypatch):
         assert suffix.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", [spans.Shape("byte", 60, 20), spans.Shape("word", 7, 3)])
+def test_stretches_do_not_depend_on_parts(rows, shape, monkeypatch):
+    buf, offs = textscan.text_buffer(pa.array([t for _, t in rows]))
+    items, first = shape.items(buf, offs)
+    whole = [np.concatenate(v) for v in zip(*spans.stretches(shape, items, first))]
+    monkeypatch.setattr(spans, "CHUNK", 50)
+    parts = [np.concatenate(v) for v in zip(*spans.stretches(shape, items, first))]
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    place = [(d, a + k) for d, a, n in zip(*(v.tolist() for v in whole[:3])) for k in range(n)]
+    assert place == [(d, k) for d in range(len(rows)) for k in range(first[d + 1] - first[d] - shape.window + 1)]
+
+
+@pytest.mark.parametrize("shape", [spans.Shape("byte", 60, 20), spans.Shape("word", 7, 3)])
+def test_windows_are_sorted_by_digits(rows, shape, monkeypatch):
+    monkeypatch.setattr(spans, "CHUNK", 100)
+    texts = [t for _, t in rows if t]
+    buf, offs = textscan.text_buffer(pa.array(texts))
+    _, first = shape.items(buf, offs)
+    n = np.maximum(np.diff(first) - shape.window + 1, 0)
+    group = np.arange(len(texts)) % 2
+    cut = lambda t, k: t.encode()[k : k + 60] if shape.unit == "byte" else tuple(WORD.findall(t.encode())[k : k + 7])
+    seen = {}
+    for d, t in enumerate(texts):
+        for k in range(n[d]):
+            seen.setdefault((d % 2, cut(t, k)), []).append((d, k))
+    want = {w: (v[0], v[-1]) for v in seen.values() if len(v) > 1 for w in v}
+    d, k, lead, last = (x.tolist() for x in spans.sorted_windows(shape, buf, offs, n, group))
+    got = {(d[i], k[i]): ((d[lead[i]], k[lead[i]]), (d[last[i]], k[last[i]])) for i in range(len(d))}
+    assert got == want and len(got) > 100
+
+
+def test_runs_with_a_wrong_source_are_rejected(spark, docs):
+    sh = substring.shape()
+    known = spans.stored(spans.prepared(docs.where("doc_id <> 3 and text not like '%ab ab%'"), "doc_id", "text"))
+    runs = spans.glued(spans.repeated(known, sh, ordered=True)).cache()
+    ok = spans.confirmed(known, sh, runs).count()
+    wrong = spans.confirmed(known, sh, runs.withColumn("sat", F.col("sat") + 1))
+    own = lambda df: sum(int(covered.sum()) for b in spans.listed(known, df, "at", "n", "g").toArrow().to_batches() for _, _, ((_, covered),) in spans.marked(b, sh))
+    assert ok == runs.count() > 5 and own(wrong) == 0 and own(spans.confirmed(known, sh, runs)) > 100
+
+
 def test_hot_words(spark, docs, monkeypatch):
     plain = sorted(map(tuple, substring.dedup(docs).collect()), key=repr)
     monkeypatch.setattr(spans, "SAMPLE", 1)
