@@ -7,6 +7,7 @@ Per-query statistics are pre-aggregated and joined back; only ranked prefixes en
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +41,31 @@ def top(df: DataFrame, k: int, by: list, key: list[str] = KEY, name: str = "pos"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col(name) <= k)
 
 
+#: Relations of a graph up to which their phases and cosines are tables of the plan; with more they are joined row by row.
+MOST_RELATIONS = 1000
+
+
+def phases(graph: Graph) -> dict[int, list[float]] | None:
+    """The phases of each relation, if the graph has MOST_RELATIONS at most."""
+    rows = graph.relation_vectors.select("r", "phase").limit(MOST_RELATIONS + 1).collect()
+    return None if len(rows) > MOST_RELATIONS else {x["r"]: list(x["phase"]) for x in rows if x["phase"] is not None}
+
+
 def with_cosine(df: DataFrame, graph: Graph) -> DataFrame:
     """Adds the cosine between an edge's relation and the query's; 0 where a vector is missing."""
+    known = phases(graph)
+    if known is not None:  # each pair of relations once, not each row
+        ids = sorted(known)
+        m = np.array([known[r] for r in ids], np.float64).reshape(len(ids), -1)
+        size = np.sqrt((m * m).sum(axis=1))
+        both = size[:, None] * size[None, :]
+        cos = np.round(np.divide(m @ m.T, both, out=np.zeros_like(both), where=both > 0), 9)
+        rows = [(r, q, float(cos[i, j])) for i, r in enumerate(ids) for j, q in enumerate(ids)]
+        pairs = df.sparkSession.createDataFrame(rows, "r int, relation int, cosine double")
+        return df.join(F.broadcast(pairs), ["r", "relation"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     p = graph.relation_vectors
     out = df.join(p.select("r", F.col("phase").alias("p_edge")), "r", "left").join(p.select(F.col("r").alias("relation"), F.col("phase").alias("p_query")), "relation", "left")
-    return out.withColumn("cosine", F.round(vectors.cosine("p_edge", "p_query"), 9))
+    return out.withColumn("cosine", F.round(vectors.cosine("p_edge", "p_query"), 9)).drop("p_edge", "p_query")
 
 
 def with_score(df: DataFrame, graph: Graph, h: str, r: str, t: str, name: str) -> DataFrame:
@@ -57,10 +78,12 @@ def with_score(df: DataFrame, graph: Graph, h: str, r: str, t: str, name: str) -
 
 def one_hop(graph: Graph, queries: DataFrame, k: int = 10, mask: bool = True, splits=("train", "valid"), weights=(1.0, 1.0)) -> DataFrame:
     """Edges of each query's head: h, r, t, cosine, reliability, score and pos; standardised over all unmasked edges, then cut to k."""
-    found = queries.join(edges(graph, splits), F.col("head") == F.col("h"))
+    # an edge's reliability does not depend on the query: each edge is scored once, however many queries share its head
+    near = edges(graph, splits).join(queries.select(F.col("head").alias("h")).distinct(), "h", "left_semi")
+    found = queries.join(with_score(near, graph, "h", "r", "t", "reliability"), F.col("head") == F.col("h"))
     if mask:
         found = found.where(~touches(F.col("gold"), F.col("h"), F.col("t")))
-    found = with_score(with_cosine(found, graph).drop("p_edge", "p_query"), graph, "h", "r", "t", "reliability")
+    found = with_cosine(found, graph)
     found = zscored(found, ["cosine", "reliability"])
     found = found.withColumn("score", weights[0] * F.col("z_cosine") + weights[1] * F.col("z_reliability"))
     return top(found, k, [F.round("score", 9).desc(), *ORDER]).select(*KEY, "h", "r", "t", "ord", "cosine", "reliability", "score", "pos")
@@ -80,7 +103,7 @@ def raw_paths(graph: Graph, queries: DataFrame, max_hops: int = 2, branch: int =
         reach = front.join(e, F.col("node") == F.col("h"))
         if mask:
             reach = reach.where(~touches(F.col("gold"), F.col("h"), F.col("t")))
-        reach = with_cosine(reach, graph).drop("p_edge", "p_query")
+        reach = with_cosine(reach, graph)
         reach = top(reach, branch, [F.col("cosine").desc(), *ORDER], [*KEY, "branches"], "b").where(~F.array_contains("visited", F.col("t")))
         front = reach.select(*KEY, F.col("t").alias("node"), F.concat("steps", F.array(step)).alias("steps"), F.concat("branches", F.array("b")).alias("branches"), F.concat("visited", F.array("t")).alias("visited"))
         if hop >= 2:
@@ -93,12 +116,18 @@ def raw_paths(graph: Graph, queries: DataFrame, max_hops: int = 2, branch: int =
 def paths(graph: Graph, queries: DataFrame, k: int = 10, weights=(1.0, 1.0, 1.0), **limits) -> DataFrame:
     """The k best paths of each query: steps, terminal, consistency, endpoint, decay, score and pos."""
     found = raw_paths(graph, queries, **limits)
-    p = graph.relation_vectors
-    # phases of the steps, summed by position
-    step = found.select(*KEY, "branches", F.explode("steps").alias("s")).join(p.select(F.col("r").alias("sr"), "phase"), F.col("s.r") == F.col("sr"))
-    parts = step.select(*KEY, "branches", F.posexplode("phase")).groupBy(*KEY, "branches", "pos").agg(F.sum("col").alias("x"))
-    total = parts.groupBy(*KEY, "branches").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("total"))
-    found = found.join(total, [*KEY, "branches"], "left").join(p.select(F.col("r").alias("relation"), F.col("phase").alias("p_query")), "relation", "left")
+    p, known = graph.relation_vectors, phases(graph)
+    if known:  # phases of the steps, summed
+        table = F.create_map(*(x for r in sorted(known) for x in (F.lit(r), F.array(*map(F.lit, known[r])))))
+        zero = F.array(*(F.lit(0.0) for _ in range(graph.dim)))
+        has = F.exists("steps", lambda x: x["r"].isin(sorted(known)))
+        total = F.aggregate("steps", zero, lambda s, x: vectors.vector_sum(s, F.coalesce(F.try_element_at(table, x["r"]), zero)))
+        found = found.withColumn("total", F.when(has, total)).withColumn("p_query", F.try_element_at(table, F.col("relation")))
+    else:
+        step = found.select(*KEY, "branches", F.explode("steps").alias("s")).join(p.select(F.col("r").alias("sr"), "phase"), F.col("s.r") == F.col("sr"))
+        parts = step.select(*KEY, "branches", F.posexplode("phase")).groupBy(*KEY, "branches", "pos").agg(F.sum("col").alias("x"))
+        total = parts.groupBy(*KEY, "branches").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("total"))
+        found = found.join(total, [*KEY, "branches"], "left").join(p.select(F.col("r").alias("relation"), F.col("phase").alias("p_query")), "relation", "left")
     found = found.withColumn("consistency", vectors.path_consistency("total", "p_query")).withColumn("decay", vectors.length_decay("length"))
     found = with_score(found.drop("total", "p_query"), graph, "head", "relation", "terminal", "endpoint")
     found = zscored(found, ["consistency", "endpoint", "decay"])

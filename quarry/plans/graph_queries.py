@@ -14,20 +14,30 @@ KEY = g.KEY
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-ROT = "(24.0 - list_sum(list_transform(range(1, 33), lambda k: sqrt(pow({h}[k] * cos({p}[k] * pi() * 32 / 26) - {h}[k + 32] * sin({p}[k] * pi() * 32 / 26) - {t}[k], 2) + pow({h}[k] * sin({p}[k] * pi() * 32 / 26) + {h}[k + 32] * cos({p}[k] * pi() * 32 / 26) - {t}[k + 32], 2)))))"
+#: Queries that are scored against every entity, or whose paths are ranked, are the test triples whose head id is a multiple of this.
+SEARCHED = 20
+
+
+def rotation(h: str, p: str, t: str, turn: str = "+") -> str:
+    """The score of a triple as SQL, a term a component; turn '-' turns the other way."""
+    back = "-" if turn == "+" else "+"
+    terms = (f"sqrt(pow({h}[{k}] * {p}.co[{k}] {back} {h}[{k + 32}] * {p}.si[{k}] - {t}[{k}], 2) + pow({h}[{k + 32}] * {p}.co[{k}] {turn} {h}[{k}] * {p}.si[{k}] - {t}[{k + 32}], 2))" for k in range(1, 33))
+    return f"(24.0 - ({' + '.join(terms)}))"
+
+
 Q = "PARTITION BY head, relation, gold"
 COS = ", rc AS (SELECT a.r, b.r AS relation, round(coalesce(CASE WHEN list_sum(list_transform(a.phase, lambda x: x * x)) * list_sum(list_transform(b.phase, lambda x: x * x)) > 0 THEN list_sum(list_transform(range(1, 33), lambda k: a.phase[k] * b.phase[k])) / (sqrt(list_sum(list_transform(a.phase, lambda x: x * x))) * sqrt(list_sum(list_transform(b.phase, lambda x: x * x)))) END, 0), 9) AS cosine FROM phase a, phase b)"
 KNOWN = ", known AS (SELECT DISTINCT h AS head, r AS relation, t FROM tri)"
 
 
-def qs_sql(n: int) -> str:
-    return f", qs AS (SELECT h AS head, r AS relation, t AS gold FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY h, t) AS k FROM tri WHERE split = 'test') WHERE k <= {n}), edge AS (SELECT ord, h, r, t FROM tri WHERE split <> 'test')"
+def qs_sql(every: int) -> str:
+    return f", qs AS MATERIALIZED (SELECT h AS head, r AS relation, t AS gold FROM tri WHERE split = 'test' AND h % {every} = 0), edge AS (SELECT ord, h, r, t FROM tri WHERE split <> 'test')"
 
 
-def test_queries(graph: star_kg.Graph, n: int | None = None):
-    """Every test triple as a query; with n, the first n of each relation only, for the entry."""
+def test_queries(graph: star_kg.Graph, every: int = 1):
+    """The test triples whose head id is a multiple of `every`, as queries; by default all of them."""
     t = graph.triples.where("split = 'test'")
-    return (t if n is None else g.top(t, n, ["h", "t"], ["r"])).select(F.col("h").alias("head"), F.col("r").alias("relation"), F.col("t").alias("gold"))
+    return (t if every == 1 else t.where(F.col("h") % every == 0)).select(F.col("h").alias("head"), F.col("r").alias("relation"), F.col("t").alias("gold"))
 
 
 def z(c: str) -> str:
@@ -37,7 +47,7 @@ def z(c: str) -> str:
 HOP = ", hop AS (SELECT qs.*, e.* FROM qs JOIN edge e ON e.h = qs.head WHERE NOT (e.h = gold OR e.t = gold))"
 ONE = (
     HOP
-    + ", hs AS (SELECT hop.*, rc.cosine, " + ROT.format(h="eh.vec", p="p.phase", t="et.vec") + " AS reliability FROM hop JOIN rc ON rc.r = hop.r AND rc.relation = hop.relation JOIN evec eh ON eh.id = hop.h JOIN evec et ON et.id = hop.t JOIN phase p ON p.r = hop.r)"
+    + ", hs AS (SELECT hop.*, rc.cosine, " + rotation("eh.vec", "p", "et.vec") + " AS reliability FROM hop JOIN rc ON rc.r = hop.r AND rc.relation = hop.relation JOIN evec eh ON eh.id = hop.h JOIN evec et ON et.id = hop.t JOIN phase p ON p.r = hop.r)"
     + f", hz AS (SELECT *, {z('cosine')} AS zc, {z('reliability')} AS zr FROM hs WINDOW w AS ({Q}))"
     + f", one AS (SELECT *, zc + zr AS score, row_number() OVER ({Q} ORDER BY round(zc + zr, 9) DESC, ord, h, r, t) AS pos FROM hz QUALIFY pos <= 10)"
 )
@@ -47,12 +57,13 @@ PATHS = (
     + ", b2 AS (SELECT f.head, f.relation, f.gold, f.b AS c1, f.h AS h1, f.r AS r1, f.t AS t1, e.h AS h2, e.r AS r2, e.t AS t2, row_number() OVER (PARTITION BY f.head, f.relation, f.gold, f.b ORDER BY rc.cosine DESC, e.ord, e.h, e.r, e.t) AS c2"
     + " FROM (SELECT * FROM b1 WHERE t <> head) f JOIN edge e ON e.h = f.t JOIN rc ON rc.r = e.r AND rc.relation = f.relation WHERE NOT (e.h = gold OR e.t = gold) QUALIFY c2 <= 20)"
     + f", raw AS (SELECT *, row_number() OVER ({Q} ORDER BY c1, c2) AS seq FROM b2 WHERE t2 <> head AND t2 <> t1 QUALIFY seq <= 1000)"
-    + ", ps AS (SELECT raw.*, -sqrt(list_sum(list_transform(range(1, 33), lambda k: pow(p1.phase[k] + p2.phase[k] - pq.phase[k], 2)))) AS consistency, " + ROT.format(h="eh.vec", p="pq.phase", t="et.vec") + " AS endpoint"
+    + ", ps AS (SELECT raw.*, -sqrt(" + " + ".join(f"pow(p1.phase[{k}] + p2.phase[{k}] - pq.phase[{k}], 2)" for k in range(1, 33)) + ") AS consistency, " + rotation("eh.vec", "pq", "et.vec") + " AS endpoint"
     + " FROM raw JOIN phase p1 ON p1.r = r1 JOIN phase p2 ON p2.r = r2 JOIN phase pq ON pq.r = relation JOIN evec eh ON eh.id = head JOIN evec et ON et.id = t2)"
     + f", pz AS (SELECT *, {z('consistency')} + {z('endpoint')} AS score FROM ps WINDOW w AS ({Q}))"
     + f", path AS (SELECT *, row_number() OVER ({Q} ORDER BY round(score, 9) DESC, c1, c2) AS pos FROM pz QUALIFY pos <= 10)"
 )
-ALL = ", alls AS (SELECT qs.*, e.id, round(" + ROT.format(h="h.vec", p="p.phase", t="e.vec") + ", 9) AS score FROM qs JOIN evec h ON h.id = qs.head JOIN phase p ON p.r = qs.relation, evec e)"
+ALL = ", alls AS MATERIALIZED (SELECT qs.*, e.id, round(" + rotation("h.vec", "p", "e.vec") + ", 9) AS score FROM qs JOIN evec h ON h.id = qs.head JOIN phase p ON p.r = qs.relation, evec e)"
+HEADS = ", heads AS MATERIALIZED (SELECT qs.*, e.id, round(" + rotation("t.vec", "p", "e.vec", "-") + ", 9) AS score FROM qs JOIN evec t ON t.id = qs.gold JOIN phase p ON p.r = qs.relation, evec e)"
 CAND = (
     ALL + KNOWN
     + f", neg AS (SELECT *, row_number() OVER ({Q} ORDER BY score DESC, id) AS k FROM alls a WHERE id <> head AND id <> gold AND NOT EXISTS (SELECT 1 FROM known z WHERE z.head = a.head AND z.relation = a.relation AND z.t = a.id) QUALIFY k <= 19)"
@@ -60,28 +71,27 @@ CAND = (
 )
 
 
-def query(name: str, sql: str | None = None, n: int | None = None, more: str = ""):
-    """Registers a function of (graph) or, with n, of (graph, queries).
+def query(name: str, sql: str | None = None, every: int | None = None, more: str = ""):
+    """Registers a function of (graph) or, with `every`, of (graph, queries).
 
-    Queries are the whole test split.  n is what the SQL takes of each relation, so there the SQL
-    gives the rows of a part of the queries, and its means are means over that part.
+    Queries are the test triples whose head id is a multiple of `every`: all of them with 1.
     """
 
     def add(f):
         def run(spark, sf_dir):
             graph = star_kg.load(spark, sf_dir)
-            return f(graph) if n is None else f(graph, test_queries(graph))
+            return f(graph) if every is None else f(graph, test_queries(graph, every))
 
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = "WITH " + star_kg.SQL + (qs_sql(n) if n is not None else "") + more + " " + sql
+            ORACLES[name] = "WITH " + star_kg.SQL + (qs_sql(every) if every is not None else "") + more + " " + sql
         return f
 
     return add
 
 
 def r6(c):
-    return F.round(c, 6)
+    return F.round(c, 6) + F.lit(0.0)  # no negative zero
 
 
 @query("kg_dataset_summary", "SELECT split, count(*) AS n, count(DISTINCT h) AS heads, count(DISTINCT r) AS relations, count(DISTINCT t) AS tails FROM tri GROUP BY split")
@@ -89,7 +99,7 @@ def _(graph):
     return graph.triples.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("h").alias("heads"), F.countDistinct("r").alias("relations"), F.countDistinct("t").alias("tails"))
 
 
-@query("kg_triples_labelled", "SELECT h, tri.r::BIGINT AS r, t, a.label || ' --[' || r_label || ']--> ' || b.label AS text, a.classes[1] AS h_class, b.classes[1] AS t_class FROM tri JOIN ent a ON a.id = h JOIN ent b ON b.id = t JOIN rel ON rel.r = tri.r WHERE split = 'test'")
+@query("kg_triples_labelled", "SELECT h, tri.r::BIGINT AS r, t, a.label || ' --[' || r_label || ']--> ' || b.label AS text, a.classes[1] AS h_class, b.classes[1] AS t_class FROM tri JOIN ent a ON a.id = h JOIN ent b ON b.id = t JOIN rel ON rel.r = tri.r")
 def _(graph):
     e = graph.entities
     x = g.one_hop_text(graph.triples, graph)
@@ -136,7 +146,7 @@ def _(graph):
     return cand.patterns(graph).select("id", text.pattern_text("patterns").alias("patterns"))
 
 
-@query("kg_relation_cosine", "SELECT r::BIGINT AS r, relation::BIGINT AS relation, round(cosine, 6) AS cosine FROM rc", more=COS)
+@query("kg_relation_cosine", "SELECT r::BIGINT AS r, relation::BIGINT AS relation, round(cosine, 6) + 0.0 AS cosine FROM rc", more=COS)
 def _(graph):
     p = graph.relation_vectors
     # relations pair with every relation of the query set, here all of them: a table of fixed size
@@ -144,18 +154,18 @@ def _(graph):
     return g.with_cosine(pairs, graph).select(F.col("r").cast("long").alias("r"), F.col("relation").cast("long").alias("relation"), r6("cosine").alias("cosine"))
 
 
-@query("kg_rotate_scores", "SELECT h, tri.r::BIGINT AS r, t, round(" + ROT.format(h="a.vec", p="p.phase", t="b.vec") + ", 6) AS score FROM tri JOIN evec a ON a.id = h JOIN evec b ON b.id = t JOIN phase p ON p.r = tri.r WHERE split = 'test'")
+@query("kg_rotate_scores", "SELECT h, tri.r::BIGINT AS r, t, round(" + rotation("a.vec", "p", "b.vec") + ", 6) AS score FROM tri JOIN evec a ON a.id = h JOIN evec b ON b.id = t JOIN phase p ON p.r = tri.r WHERE split = 'test'")
 def _(graph):
     return g.with_score(graph.triples.where("split = 'test'"), graph, "h", "r", "t", "s").select("h", F.col("r").cast("long").alias("r"), "t", r6("s").alias("score"))
 
 
-@query("kg_one_hop_evidence", "SELECT head, relation::BIGINT AS relation, gold, h, r::BIGINT AS r, t, round(cosine, 6) AS cosine, round(reliability, 6) AS reliability, round(score, 6) AS score, pos FROM one", n=10, more=COS + ONE)
+@query("kg_one_hop_evidence", "SELECT head, relation::BIGINT AS relation, gold, h, r::BIGINT AS r, t, round(cosine, 6) + 0.0 AS cosine, round(reliability, 6) AS reliability, round(score, 6) + 0.0 AS score, pos FROM one", every=1, more=COS + ONE)
 def _(graph, qs):
     x = g.one_hop(graph, qs)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "h", F.col("r").cast("long").alias("r"), "t", r6("cosine").alias("cosine"), r6("reliability").alias("reliability"), r6("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-PATH_OUT = "head, relation::BIGINT AS relation, gold, t2 AS terminal, h1 || '>' || r1 || '>' || t1 || '>' || r2 || '>' || t2 AS path, round(consistency, 6) AS consistency, round(endpoint, 6) AS endpoint, round(score, 6) AS score, pos"
+PATH_OUT = "head, relation::BIGINT AS relation, gold, t2 AS terminal, h1 || '>' || r1 || '>' || t1 || '>' || r2 || '>' || t2 AS path, round(consistency, 6) + 0.0 AS consistency, round(endpoint, 6) + 0.0 AS endpoint, round(score, 6) + 0.0 AS score, pos"
 
 
 def _path(steps):
@@ -163,13 +173,13 @@ def _path(steps):
     return F.concat_ws(">", s(0, "h"), s(0, "r"), s(0, "t"), s(1, "r"), s(1, "t"))
 
 
-@query("kg_path_evidence", f"SELECT {PATH_OUT} FROM path", n=4, more=COS + PATHS)
+@query("kg_path_evidence", f"SELECT {PATH_OUT} FROM path", every=SEARCHED, more=COS + PATHS)
 def _(graph, qs):
     x = g.paths(graph, qs)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "terminal", _path("steps").alias("path"), r6("consistency").alias("consistency"), r6("endpoint").alias("endpoint"), r6("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("kg_raw_paths", "SELECT head, relation::BIGINT AS relation, gold, count(*) AS n, min(t2) AS first, sum(seq * (t2 % 1000)) AS mix FROM raw GROUP BY ALL", n=10, more=COS + PATHS.split(", ps AS")[0])
+@query("kg_raw_paths", "SELECT head, relation::BIGINT AS relation, gold, count(*) AS n, min(t2) AS first, sum(seq * (t2 % 1000)) AS mix FROM raw GROUP BY ALL", every=SEARCHED, more=COS + PATHS.split(", ps AS")[0])
 def _(graph, qs):
     x = g.raw_paths(graph, qs)
     from pyspark.sql import Window
@@ -181,7 +191,7 @@ def _(graph, qs):
 ORACLES["kg_raw_paths"] = ORACLES["kg_raw_paths"].replace("sum(seq * (t2 % 1000)) AS mix", "sum(seq * (t2 % 1000))::BIGINT AS mix")
 
 
-@query("kg_path_texts", "SELECT head, relation::BIGINT AS relation, gold, pos, a.label || ' --[' || x.r_label || ']--> ' || b.label || ' --[' || y.r_label || ']--> ' || c.label AS text FROM path JOIN ent a ON a.id = h1 JOIN ent b ON b.id = t1 JOIN ent c ON c.id = t2 JOIN rel x ON x.r = r1 JOIN rel y ON y.r = r2", n=4, more=COS + PATHS)
+@query("kg_path_texts", "SELECT head, relation::BIGINT AS relation, gold, pos, a.label || ' --[' || x.r_label || ']--> ' || b.label || ' --[' || y.r_label || ']--> ' || c.label AS text FROM path JOIN ent a ON a.id = h1 JOIN ent b ON b.id = t1 JOIN ent c ON c.id = t2 JOIN rel x ON x.r = r1 JOIN rel y ON y.r = r2", every=SEARCHED, more=COS + PATHS)
 def _(graph, qs):
     return g.path_texts(g.paths(graph, qs), graph).select("head", F.col("relation").cast("long").alias("relation"), "gold", F.col("pos").cast("long").alias("pos"), "text")
 
@@ -193,7 +203,7 @@ GOLD = (
 )
 
 
-@query("kg_gold_paths", "SELECT head, relation::BIGINT AS relation, gold, mid, r1::BIGINT AS r1, b1 = 0 AS f1, r2::BIGINT AS r2, b2 = 0 AS f2 FROM gp", n=40, more=GOLD)
+@query("kg_gold_paths", "SELECT head, relation::BIGINT AS relation, gold, mid, r1::BIGINT AS r1, b1 = 0 AS f1, r2::BIGINT AS r2, b2 = 0 AS f2 FROM gp", every=1, more=GOLD)
 def _(graph, qs):
     x = g.gold_paths(graph, qs)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "mid", F.col("r1").cast("long").alias("r1"), "f1", F.col("r2").cast("long").alias("r2"), "f2")
@@ -206,19 +216,19 @@ ETA = (
 )
 
 
-@query("kg_compatibility", "SELECT id, rid::BIGINT AS r, round(eta, 6) AS eta, why AS eta_relation FROM eta WHERE id < 10000000", more=ETA)
+@query("kg_compatibility", "SELECT id, rid::BIGINT AS r, round(eta, 6) AS eta, why AS eta_relation FROM eta", more=ETA)
 def _(graph):
     items = graph.entities.select("id", "classes", F.explode(F.array(*(F.struct(F.lit(r).cast("long").alias("r"), F.array(F.lit(rng)).alias("ranges")) for r, _, _, rng in star_kg.RELATIONS))).alias("x")).select("id", "classes", "x.*")
     return ontology.compatibility(items, graph.judgements, ["id", "r"]).select("id", "r", r6("eta").alias("eta"), "eta_relation")
 
 
-@query("kg_ontology_one_hop", f"SELECT head, relation::BIGINT AS relation, gold, h, r::BIGINT AS r, t, round(score * e.eta, 6) AS filtered, e.eta, why AS eta_relation, row_number() OVER ({Q} ORDER BY round(score * e.eta, 9) DESC, pos) AS pos FROM one JOIN eta e ON e.id = one.t AND e.rid = one.relation", n=10, more=COS + ONE + ETA)
+@query("kg_ontology_one_hop", f"SELECT head, relation::BIGINT AS relation, gold, h, r::BIGINT AS r, t, round(score * e.eta, 6) + 0.0 AS filtered, e.eta, why AS eta_relation, row_number() OVER ({Q} ORDER BY round(score * e.eta, 9) DESC, pos) AS pos FROM one JOIN eta e ON e.id = one.t AND e.rid = one.relation", every=1, more=COS + ONE + ETA)
 def _(graph, qs):
     x = ontology.reweight_one_hop(g.one_hop(graph, qs), graph)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "h", F.col("r").cast("long").alias("r"), "t", r6("filtered").alias("filtered"), "eta", "eta_relation", F.col("pos").cast("long").alias("pos"))
 
 
-@query("kg_ontology_paths", f"SELECT head, relation::BIGINT AS relation, gold, t2 AS terminal, round(a.eta * b.eta, 6) AS eta, round(score * a.eta * b.eta, 6) AS filtered, row_number() OVER ({Q} ORDER BY round(score * (a.eta * b.eta), 9) DESC, pos) AS pos FROM path JOIN eta a ON a.id = t1 AND a.rid = r1 JOIN eta b ON b.id = t2 AND b.rid = r2", n=4, more=COS + PATHS + ETA)
+@query("kg_ontology_paths", f"SELECT head, relation::BIGINT AS relation, gold, t2 AS terminal, round(a.eta * b.eta, 6) AS eta, round(score * a.eta * b.eta, 6) + 0.0 AS filtered, row_number() OVER ({Q} ORDER BY round(score * (a.eta * b.eta), 9) DESC, pos) AS pos FROM path JOIN eta a ON a.id = t1 AND a.rid = r1 JOIN eta b ON b.id = t2 AND b.rid = r2", every=SEARCHED, more=COS + PATHS + ETA)
 def _(graph, qs):
     x = ontology.reweight_paths(g.paths(graph, qs), graph)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "terminal", r6("eta").alias("eta"), r6("filtered").alias("filtered"), F.col("pos").cast("long").alias("pos"))
@@ -253,34 +263,34 @@ def _(graph):
     return ontology.filter_statistics(pairs, graph.judgements)
 
 
-@query("kg_tail_ranking", f"SELECT head, relation::BIGINT AS relation, gold, id, round(score, 6) AS score, row_number() OVER ({Q} ORDER BY score DESC, id) AS pos FROM alls QUALIFY pos <= 10", n=3, more=ALL)
+@query("kg_tail_ranking", f"SELECT head, relation::BIGINT AS relation, gold, id, round(score, 6) AS score, row_number() OVER ({Q} ORDER BY score DESC, id) AS pos FROM alls QUALIFY pos <= 10", every=SEARCHED, more=ALL)
 def _(graph, qs):
     return cand.tails(graph, qs).select("head", F.col("relation").cast("long").alias("relation"), "gold", "id", r6("score").alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("kg_candidates", "SELECT head, relation::BIGINT AS relation, gold, c.id, round(score, 6) AS score, is_gold, pos, classes[1] AS primary_class FROM cand c JOIN ent ON ent.id = c.id", n=3, more=CAND)
+@query("kg_candidates", "SELECT head, relation::BIGINT AS relation, gold, c.id, round(score, 6) AS score, is_gold, pos, classes[1] AS primary_class FROM cand c JOIN ent ON ent.id = c.id", every=SEARCHED, more=CAND)
 def _(graph, qs):
     c = cand.candidate_set(graph, qs)
     return c.select("head", F.col("relation").cast("long").alias("relation"), "gold", "id", r6("score").alias("score"), "is_gold", F.col("pos").cast("long").alias("pos"), "primary_class")
 
 
-@query("kg_candidate_check", "SELECT head, relation::BIGINT AS relation, gold, count(*) AS size, count(*) FILTER (is_gold) AS golds, count(*) FILTER (NOT is_gold AND EXISTS (SELECT 1 FROM known k WHERE k.head = c.head AND k.relation = c.relation AND k.t = c.id)) AS leaked FROM cand c GROUP BY 1, 2, 3", n=3, more=CAND)
+@query("kg_candidate_check", "SELECT head, relation::BIGINT AS relation, gold, count(*) AS size, count(*) FILTER (is_gold) AS golds, count(*) FILTER (NOT is_gold AND EXISTS (SELECT 1 FROM known k WHERE k.head = c.head AND k.relation = c.relation AND k.t = c.id)) AS leaked FROM cand c GROUP BY 1, 2, 3", every=SEARCHED, more=CAND)
 def _(graph, qs):
     return cand.check(cand.candidate_set(graph, qs), graph).withColumn("relation", F.col("relation").cast("long"))
 
 
-@query("kg_shared_patterns", "SELECT c.head, c.relation::BIGINT AS relation, c.gold, c.id, coalesce(array_to_string(list_sort(list(DISTINCT a.p)), ', '), '') AS shared FROM cand c LEFT JOIN (pat a JOIN pat b ON a.p = b.p) ON a.id = c.id AND b.id = c.head GROUP BY 1, 2, 3, 4", n=3, more=CAND + ", pat AS (SELECT DISTINCT id, p FROM (SELECT h AS id, 'out:' || r_label AS p FROM tri JOIN rel USING (r) WHERE split <> 'test' UNION ALL SELECT t, 'in:' || r_label FROM tri JOIN rel USING (r) WHERE split <> 'test'))")
+@query("kg_shared_patterns", "SELECT c.head, c.relation::BIGINT AS relation, c.gold, c.id, coalesce(array_to_string(list_sort(list(DISTINCT b.p) FILTER (b.p IS NOT NULL)), ', '), '') AS shared FROM cand c LEFT JOIN pat a ON a.id = c.id LEFT JOIN pat b ON b.id = c.head AND b.p = a.p GROUP BY 1, 2, 3, 4", every=SEARCHED, more=CAND + ", pat AS (SELECT DISTINCT id, p FROM (SELECT h AS id, 'out:' || r_label AS p FROM tri JOIN rel USING (r) WHERE split <> 'test' UNION ALL SELECT t, 'in:' || r_label FROM tri JOIN rel USING (r) WHERE split <> 'test'))")
 def _(graph, qs):
     return cand.shared_patterns(cand.candidate_set(graph, qs), graph).select("head", F.col("relation").cast("long").alias("relation"), "gold", "id", F.array_join("shared", ", ").alias("shared"))
 
 
-@query("kg_concentration", "SELECT head, relation::BIGINT AS relation, gold, c AS max_class, n AS max_count, total::BIGINT AS size, greatest(1, floor(total * 0.5))::BIGINT AS threshold_count, n >= greatest(1, floor(total * 0.5)) AS concentrated FROM (SELECT head, relation, gold, classes[1] AS c, count(*) AS n, min(pos) AS first, sum(count(*)) OVER (PARTITION BY head, relation, gold) AS total FROM cand JOIN ent USING (id) GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY head, relation, gold ORDER BY n DESC, first) = 1", n=3, more=CAND)
+@query("kg_concentration", "SELECT head, relation::BIGINT AS relation, gold, c AS max_class, n AS max_count, total::BIGINT AS size, greatest(1, floor(total * 0.5))::BIGINT AS threshold_count, n >= greatest(1, floor(total * 0.5)) AS concentrated FROM (SELECT head, relation, gold, classes[1] AS c, count(*) AS n, min(pos) AS first, sum(count(*)) OVER (PARTITION BY head, relation, gold) AS total FROM cand JOIN ent USING (id) GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY head, relation, gold ORDER BY n DESC, first) = 1", every=SEARCHED, more=CAND)
 def _(graph, qs):
     x = selection.concentration(cand.candidate_set(graph, qs))
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "max_class", "max_count", F.col("size").cast("long").alias("size"), "threshold_count", "concentrated")
 
 
-@query("kg_gold_augmentation", "SELECT q.head, q.relation::BIGINT AS relation, q.gold, CASE WHEN NOT k.on THEN 'candidate_set_not_type_concentrated' WHEN mid IS NULL THEN 'two_hop_indirect_gold_path_not_found' ELSE 'two_hop_indirect_gold_path_added' END AS reason, k.on AND mid IS NOT NULL AS added FROM qs q LEFT JOIN gp USING (head, relation, gold) LEFT JOIN (SELECT head, relation, gold, max(n) >= greatest(1, floor(sum(n) * 0.5)) AS on FROM (SELECT head, relation, gold, classes[1] AS c, count(*) AS n FROM cand JOIN ent USING (id) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) k USING (head, relation, gold)", n=3, more=CAND + GOLD)
+@query("kg_gold_augmentation", "SELECT q.head, q.relation::BIGINT AS relation, q.gold, CASE WHEN NOT k.on THEN 'candidate_set_not_type_concentrated' WHEN mid IS NULL THEN 'two_hop_indirect_gold_path_not_found' ELSE 'two_hop_indirect_gold_path_added' END AS reason, k.on AND mid IS NOT NULL AS added FROM qs q LEFT JOIN gp USING (head, relation, gold) LEFT JOIN (SELECT head, relation, gold, max(n) >= greatest(1, floor(sum(n) * 0.5)) AS on FROM (SELECT head, relation, gold, classes[1] AS c, count(*) AS n FROM cand JOIN ent USING (id) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) k USING (head, relation, gold)", every=SEARCHED, more=CAND + GOLD)
 def _(graph, qs):
     x = selection.gold_augmentation(qs, cand.candidate_set(graph, qs), graph, enabled=True)
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "reason", "added")
@@ -288,21 +298,30 @@ def _(graph, qs):
 
 ORACLES["kg_gold_augmentation"] = ORACLES["kg_gold_augmentation"].replace("k.on", "k.is_on").replace(" AS on ", " AS is_on ")
 
-RANKS = ALL + KNOWN + ", ranks AS (SELECT g.head, g.relation, g.gold, 1 + count(*) FILTER (a.score > g.score) AS rank, count(*) FILTER (a.score = g.score) - 1 AS ties FROM alls g JOIN alls a USING (head, relation, gold) WHERE g.id = g.gold AND (a.id = a.gold OR NOT EXISTS (SELECT 1 FROM known z WHERE z.head = a.head AND z.relation = a.relation AND z.t = a.id)) GROUP BY 1, 2, 3)"
+def _ranks(scores: str, answer: str, way: str, other: str) -> str:
+    """Ranks of one direction: entities that are another known answer are left out."""
+    return f"SELECT g.head, g.relation, g.gold, '{way}' AS direction, 1 + count(*) FILTER (a.score > g.score) AS rank, count(*) FILTER (a.score = g.score) - 1 AS ties FROM {scores} g JOIN {scores} a USING (head, relation, gold) WHERE g.id = g.{answer} AND (a.id = a.{answer} OR NOT EXISTS (SELECT 1 FROM known z WHERE {other})) GROUP BY 1, 2, 3"
+
+
+RANKS = (
+    ALL + HEADS + KNOWN
+    + ", ranks AS (" + _ranks("alls", "gold", "tail", "z.head = a.head AND z.relation = a.relation AND z.t = a.id")
+    + " UNION ALL " + _ranks("heads", "head", "head", "z.head = a.id AND z.relation = a.relation AND z.t = a.gold") + ")"
+)
 
 
-@query("kg_filtered_ranks", "SELECT head, relation::BIGINT AS relation, gold, rank, ties FROM ranks", n=3, more=RANKS)
+@query("kg_filtered_ranks", "SELECT head, relation::BIGINT AS relation, gold, direction, rank, ties FROM ranks", every=SEARCHED, more=RANKS)
 def _(graph, qs):
     return metrics.both_ranks(graph, qs).withColumn("relation", F.col("relation").cast("long"))
 
 
-@query("kg_full_ranking", "SELECT round(avg(1.0 / rank), 9) AS mrr, round(avg(rank), 6) AS mr, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS hits1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS hits3, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS hits10 FROM ranks", n=3, more=RANKS)
+@query("kg_full_ranking", "SELECT round(avg(1.0 / rank), 9) AS mrr, round(avg(rank), 6) AS mr, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS hits1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS hits3, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS hits10 FROM ranks", every=SEARCHED, more=RANKS)
 def _(graph, qs):
     m = metrics.full_ranking(metrics.both_ranks(graph, qs))
     return m.select(F.round("mrr", 9).alias("mrr"), r6("mr").alias("mr"), *(F.col(c).cast("double").alias(c) for c in ("hits1", "hits3", "hits10")))
 
 
-@query("kg_default_baseline", "SELECT count(*) AS total, round(avg(CASE WHEN pos <= 10 THEN 1.0 / pos ELSE 0 END), 9) AS mrr_at_k, round(avg(CASE WHEN pos <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hits1, round(avg(CASE WHEN pos <= 10 THEN 1.0 ELSE 0.0 END), 9) AS hits10, count(*) AS failed_count FROM cand WHERE is_gold", n=5, more=CAND)
+@query("kg_default_baseline", "SELECT count(*) AS total, round(avg(CASE WHEN pos <= 10 THEN 1.0 / pos ELSE 0 END), 9) AS mrr_at_k, round(avg(CASE WHEN pos <= 1 THEN 1.0 ELSE 0.0 END), 9) AS hits1, round(avg(CASE WHEN pos <= 10 THEN 1.0 ELSE 0.0 END), 9) AS hits10, count(*) AS failed_count FROM cand WHERE is_gold", every=SEARCHED, more=CAND)
 def _(graph, qs):
     c = cand.candidate_set(graph, qs)
     listed = c.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("c")).withColumn("ids", F.slice(F.transform("c", lambda x: x["id"]), 1, 10))
@@ -310,12 +329,12 @@ def _(graph, qs):
     return m.select("total", F.round("mrr_at_k", 9).alias("mrr_at_k"), F.round("hits1", 9).alias("hits1"), F.round("hits10", 9).alias("hits10"), "failed_count")
 
 
-@query("kg_random_candidates", n=3)
+@query("kg_random_candidates", every=SEARCHED)
 def _(graph, qs):
     return cand.checked(cand.random_candidates(graph, qs), graph)
 
 
-@query("kg_compressed_evidence", n=4)
+@query("kg_compressed_evidence", every=SEARCHED)
 def _(graph, qs):
     a = ontology.reweight_one_hop(g.one_hop(graph, qs), graph)
     b = ontology.reweight_paths(g.paths(graph, qs), graph)
@@ -323,6 +342,6 @@ def _(graph, qs):
 
 
 def flagship(spark, sf_dir):
-    """Filtered candidate sets of one test query per relation."""
+    """Filtered candidate sets of the searched test triples."""
     graph = star_kg.load(spark, sf_dir)
-    return cand.candidate_set(graph, test_queries(graph, 1))
+    return cand.candidate_set(graph, test_queries(graph, SEARCHED))

@@ -97,10 +97,10 @@ fact AS (
   UNION SELECT 5000000 + l_partkey, 5, 4000000 + l_suppkey FROM lineitem
   UNION SELECT 3000000 + o_custkey, 6, 10000000 + o_orderkey FROM orders
   UNION SELECT 4000000 + l_suppkey, 7, 5000000 + l_partkey FROM lineitem),
-tri AS (SELECT h, r, t, CASE WHEN k < 90 THEN 'train' WHEN k < 95 THEN 'valid' ELSE 'test' END AS split, CASE WHEN k < 90 THEN 0 WHEN k < 95 THEN 1 ELSE 2 END AS ord
+tri AS MATERIALIZED (SELECT h, r, t, CASE WHEN k < 90 THEN 'train' WHEN k < 95 THEN 'valid' ELSE 'test' END AS split, CASE WHEN k < 90 THEN 0 WHEN k < 95 THEN 1 ELSE 2 END AS ord
   FROM (SELECT *, (h * 31 + r * 17 + t) % 100 AS k FROM fact)),
 emb AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
-evec AS (SELECT id, vec FROM ent JOIN emb ON vec_id = id % (SELECT count(*) FROM embeddings)),
-phase AS (SELECT r, vec[1:32] AS phase FROM rel JOIN emb ON vec_id = r),
+evec AS MATERIALIZED (SELECT id, vec FROM ent JOIN emb ON vec_id = id % (SELECT count(*) FROM embeddings)),
+phase AS MATERIALIZED (SELECT r, phase, list_transform(phase, lambda x: cos(x * pi() * 32 / 26)) AS co, list_transform(phase, lambda x: sin(x * pi() * 32 / 26)) AS si FROM (SELECT r, vec[1:32] AS phase FROM rel JOIN emb ON vec_id = r)),
 judged AS (SELECT * FROM (VALUES ('supplier', 'vendor', 'overlap_related', 0.8::DOUBLE), ('location', 'nation', 'parent_of_range', 0.9::DOUBLE)) AS v(entity_class, range_class, relation, score))
 """

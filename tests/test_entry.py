@@ -22,7 +22,7 @@ def test_without_the_corpus_operators():
         "class No:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('quarry.llm'):\n"
-        "            raise ImportError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, No())\n"
         "import __spark_entry__ as e\n"
         "assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']\n"
