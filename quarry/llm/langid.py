@@ -138,10 +138,10 @@ def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str,
     """(l, t): language and text of the rows that are learnt from."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("i is not null and l is not null")
-    # a draw from the id; the cut leaves about three times the sample of each language to be ranked, however many rows there are
+    # a draw from the id; the cut, by a table of one row a language, leaves about three times the sample of each language to be ranked, however many rows there are
     drawn = rows.select("i", "l", F.pmod(F.xxhash64("i"), F.lit(1 << 40)).alias("draw"))
     share = drawn.groupBy("l").agg(F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.count("*")).alias("share"))
-    drawn = drawn.join(share, "l").where(F.col("draw") <= F.col("share") * (1 << 40))
+    drawn = drawn.join(F.broadcast(share), "l").where(F.col("draw") <= F.col("share") * (1 << 40))
     order = Window.partitionBy("l").orderBy("draw", "i")
     chosen = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select(F.col("i").alias("j"), F.col("l").alias("m")).distinct()
     # at most per_language rows for each language: of a size that is bounded by the parameter
