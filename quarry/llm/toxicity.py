@@ -30,11 +30,11 @@ TRAIN_ROWS = 20_000
 #: Features that the model keeps: those that tell the labels apart best in the sample.
 FEATURES = 3000
 #: Weight of the squared score change under swaps, and of the squared weights.
-SWAP_WEIGHT, RIDGE = 4.0, 1e-4
+SWAP_WEIGHT, RIDGE = 20.0, 1e-4
 THRESHOLD = 0.7
 SAMPLE_PARTS = 6
 LEAST_RATIO = 20.0
-#: Identity terms that may stand for one another, by language and kind.
+#: Identity terms chosen here that may stand for one another, by language and kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -162,15 +162,16 @@ def _examples(model: Model, terms):
 
     def run(batches):
         for batch in batches:
-            ids, y = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, j, texts in _texts(batch.column(1)):
-                rows = [(ids[i + k], y[i + k], 0, t) for k, t in enumerate(texts)]
-                rows += [(ids[i + k], y[i + k], 1, v) for k, t in enumerate(texts) if t for v in swaps(t, terms)]
-                doc, place = model.active([r[3] for r in rows])
-                cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+            y = batch.column(1).to_pylist()
+            for i, j, texts in _texts(batch.column(0)):
+                made = [swaps(t, terms) for t in texts]
+                doc, place = model.active([*texts, *(v for m in made for v in m)])
+                cut = np.searchsorted(doc, np.arange(len(texts) + sum(map(len, made)) + 1))
+                lists = [place[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                variants = iter(lists[len(texts) :])  # a text and its variants stay in one row, whatever ids repeat
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([place[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32()))],
-                    names=["id", "y", "variant", "places"],
+                    [pa.array(y[i:j], pa.int32()), pa.array(lists[: len(texts)], pa.list_(pa.int32())), pa.array([[next(variants) for _ in m] for m in made], pa.list_(pa.list_(pa.int32())))],
+                    names=["y", "places", "variants"],
                 )
 
     return run
@@ -181,25 +182,29 @@ def _descend(n: int, rows: list[tuple[int, list[int]]], pairs: list[tuple[list[i
     y = np.array([r[0] for r in rows], np.float64)
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     place = np.fromiter((p for r in rows for p in r[1]), np.int64, len(doc))
-    pd = np.repeat(np.arange(2 * len(pairs)) // 2, [len(side) for p in pairs for side in p])
-    ps_ = np.fromiter((x for p in pairs for side in p for x in side), np.int64, len(pd))
-    sign = np.repeat(np.tile([1.0, -1.0], len(pairs)), [len(side) for p in pairs for side in p]) if pairs else np.empty(0)
+    sides = [side for p in pairs for side in p]  # a variant and its text, in turn
+    side = np.repeat(np.arange(len(sides)), [len(x) for x in sides])
+    places = np.fromiter((x for p in sides for x in p), np.int64, len(side))
+    sign = np.tile([1.0, -1.0], len(pairs))
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both labels weigh the same
     share = 0.5 * share + 0.5 / max(1, len(y))
     w, b = np.zeros(n), 0.0
     vw, vb, gw, gb = np.zeros(n), 0.0, np.zeros(n), 0.0
     for k in range(rounds):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=lw[place], minlength=len(y)) + lb, -60, 60)))
-        e = (p - y) * share
-        dw = np.bincount(place, weights=e[doc], minlength=n) + RIDGE * lw
-        if pairs:
-            change = np.bincount(pd, weights=sign * lw[ps_], minlength=len(pairs))
-            dw += 2 * swap_weight / len(pairs) * np.bincount(ps_, weights=sign * change[pd], minlength=n)
+        e = (chance(np.bincount(doc, weights=lw[place], minlength=len(y)) + lb) - y) * share
+        dw, db = np.bincount(place, weights=e[doc], minlength=n) + RIDGE * lw, e.sum()
+        if pairs:  # the squared change of the score, not of the sum below it
+            p = chance(np.bincount(side, weights=lw[places], minlength=len(sides)) + lb)
+            change = np.repeat((sign * p).reshape(-1, 2).sum(axis=1), 2)
+            e = 2 * swap_weight / len(pairs) * change * sign * p * (1 - p)
+            dw += np.bincount(places, weights=e[side], minlength=n)
+            db += e.sum()
         gw += dw * dw
-        gb += e.sum() ** 2
+        gb += db**2
         vw = 0.9 * vw - 0.1 * dw / (np.sqrt(gw / (k + 1)) + 1e-6)
-        vb = 0.9 * vb - 0.1 * e.sum() / (np.sqrt(gb / (k + 1)) + 1e-6)
+        vb = 0.9 * vb - 0.1 * db / (np.sqrt(gb / (k + 1)) + 1e-6)
         vw, vb = np.clip(vw, -0.1, 0.1), float(np.clip(vb, -0.1, 0.1))
         w, b = w + vw, b + vb
     return w, b
@@ -209,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, swap_weight:
     """Learns a model from `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
     The sample is bounded by `rows`: labelled ids with the smallest hash, chosen without reading a
-    text.  Null labels, ids and texts are not learnt from; without any label every score is 0.5.
+    text.  Null labels, ids and texts are not learnt from; without any label every score is 0.5.  A
+    label that repeats counts once, as 1 if any says so; rows that share a labelled id are each learnt from.
     What reaches the driver is bounded by `rows` and FEATURES.
     """
     spark = docs.sparkSession
@@ -228,10 +234,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, swap_weight:
     ratio = 2 * (F.col("pos") * F.log((F.col("pos") + 0.01) / (both * part)) + F.col("neg") * F.log((F.col("neg") + 0.01) / (both * (1 - part))))
     best = counted.where("pos + neg >= 4").where(F.abs(odds) > 1.5).where(ratio > LEAST_RATIO).orderBy(ratio.desc(), "bin").limit(FEATURES).collect()
     model = Model(np.array([r["bin"] for r in best], np.int64), np.zeros(len(best)), 0.0, terms)
-    got = sample.select("i", "t", "y").mapInArrow(_examples(model, terms), "id long, y int, variant int, places array<int>").collect()
-    plain = {r["id"]: r["places"] for r in got if not r["variant"]}
-    pairs = [(r["places"], plain[r["id"]]) for r in got if r["variant"]]
-    model.weights, model.intercept = _descend(len(best), [(r["y"], r["places"]) for r in got if not r["variant"]], pairs, swap_weight)
+    got = sample.select("t", "y").mapInArrow(_examples(model, terms), "y int, places array<int>, variants array<array<int>>").collect()
+    pairs = [(v, r["places"]) for r in got for v in r["variants"]]
+    model.weights, model.intercept = _descend(len(best), [(r["y"], r["places"]) for r in got], pairs, swap_weight)
     return model
 
 
