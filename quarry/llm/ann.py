@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut, prepare
+from .tables import cut, prepare, written
 
 #: Bits of a code: at least so many, and as many as the vector has components.
 BITS = 256
@@ -35,8 +36,14 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def usable(rows: list) -> list[bool]:
-    return [bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v) for v in rows]
+def usable(col: pa.Array) -> np.ndarray:
+    """Which vectors of a column have components, all of them finite, and not all zero."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(col)
+    x = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(col)), size)
+    bad = np.bincount(row, weights=~np.isfinite(x), minlength=len(col)) > 0
+    return (np.bincount(row, weights=x != 0, minlength=len(col)) > 0) & ~bad
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,19 +60,20 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
+def _vectors(col: pa.Array, at: np.ndarray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix."""
+    return pc.list_flatten(col.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+
+
 def _index(batches):
     for batch in batches:
-        rows = batch.column(1).to_pylist()
-        ids = batch.column(0).to_pylist()
-        good = [k for k, ok in enumerate(usable(rows)) if ok and ids[k] is not None]
-        for dim in sorted({len(rows[k]) for k in good}):
-            mine = [k for k in good if len(rows[k]) == dim]
-            x = np.array([rows[k] for k in mine], np.float64)
-            code, f, err = encode(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in mine], pa.int64()), pa.array([rows[k] for k in mine], pa.list_(pa.float64())), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(f), pa.array(err)],
-                names=["vec_id", "vec", "code", "correction", "error"],
-            )
+        good = np.flatnonzero(usable(batch.column(1)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+        size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(size[good]).tolist():
+            mine = good[size[good] == dim]
+            code, f, err = encode(_vectors(batch.column(1), mine))
+            rows = batch.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(f), pa.array(err)], names=["vec_id", "vec", "code", "correction", "error"])
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -91,14 +99,13 @@ def _search(shared, k: int):
         queries = shared.value
         best = {d: [(np.empty(0, np.int64), np.empty(0)) for _ in q[0]] for d, q in queries.items()}
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            dims = np.array([len(r) for r in rows])
+            dims = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             all_ids = batch.column(0).to_numpy()
             f, err = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             codes = batch.column(2).to_pylist()
             for d in set(dims.tolist()) & queries.keys():
                 mine = np.flatnonzero(dims == d)
-                x = np.array([rows[m] for m in mine], np.float64)
+                x = _vectors(batch.column(1), mine)
                 ids = all_ids[mine]
                 bits = np.unpackbits(np.frombuffer(b"".join(codes[m] for m in mine), np.uint8).reshape(len(mine), -1), axis=1, count=max(BITS, d)).astype(np.float32)
                 bound = SIGMAS * err[mine]
@@ -132,16 +139,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK)
     Nearness is the cosine in double precision on the original vectors, ties go to the smaller
     vec_id, and a query's own id is no candidate.  Queries come in blocks of about `block`, which
     bounds what each task holds and what is sent to it; every block meets every row of the index
-    once, without a shuffle of the index.  Only vectors of equal length are compared.  Fewer than
-    k candidates are all returned; without candidates a query has no row.
+    once, without a shuffle of the index; what a block found is written before the next is sent, so
+    neither the plan nor what executors hold grows with the number of blocks.  Only vectors of equal
+    length are compared.  Fewer than k candidates are all returned; without candidates a query has
+    no row.  Query rows that share an id are one query, the largest of their vectors; index rows that
+    share an id are each a candidate of other queries.
     """
     spark = index.sparkSession
-    wanted = queries.select("vec_id", "vec").dropDuplicates(["vec_id"])
+    wanted = queries.groupBy("vec_id").agg(F.max("vec").alias("vec"))
     total = wanted.count()
     rounds = max(1, math.ceil(total / (0.9 * block)))
     if rounds > 1:
         index, wanted = cut(index, "codes"), cut(wanted, "queries")
-    parts = None
+    parts, kind = [], "query_id long, vec_id long, score double"
     for r in range(rounds):
         got = (wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r) if rounds > 1 else wanted).collect()  # about a block
         held = {}
@@ -151,8 +161,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK)
             scale = np.abs(q).max(axis=1, keepdims=True)
             unit = q / scale / np.linalg.norm(q / scale, axis=1, keepdims=True)
             held[d] = (np.array([x["vec_id"] for x in mine], np.int64), q, (unit @ rotation(d).T).astype(np.float32))
-        found = index.mapInArrow(_search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score double")
-        parts = found if parts is None else parts.unionByName(found)
+        sent = spark.sparkContext.broadcast(held)
+        found = index.mapInArrow(_search(sent, k), kind)
+        if rounds == 1:
+            parts = found
+        else:
+            parts.append(written(found, "neighbours", parts[0] if parts else None))
+            sent.unpersist()
+    if rounds > 1:
+        parts = spark.read.schema(kind).parquet(parts[0])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

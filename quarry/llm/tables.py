@@ -27,19 +27,27 @@ def shared(spark: SparkSession) -> str:
     """
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", have)
     return have
 
 
+def written(df: DataFrame, name: str, path: str | None = None) -> str:
+    """Writes a DataFrame to the shared folder, or adds it to the table at `path`; returns the path."""
+    path = path or f"{shared(df.sparkSession).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a DataFrame to the shared folder as Parquet and reads it back.
 
     The copy outlives executors, and what was shuffled before it can be removed at once.
     """
     spark = df.sparkSession
-    path = f"{shared(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = written(df, name)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
