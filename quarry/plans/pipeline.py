@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import candidates, graph, metrics, ontology, selection
 from quarry.plans.ranking import RankConfig, evaluate
-from quarry.sources.sinks import stage
+from quarry.sources.sinks import fingerprint, stage
 from quarry.sources.star_kg import Graph
 
 
@@ -34,8 +34,9 @@ def structural(g: Graph, queries: DataFrame, cfg: EvidenceConfig) -> tuple[DataF
 
 
 def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: EvidenceConfig = EvidenceConfig(), make_client=None) -> dict[str, DataFrame]:
-    """Evidence, candidates, results and means; the stages are written below `folder`."""
-    key = asdict(cfg)
+    """Evidence, candidates, results and means; the stages are written below `folder`, under their settings, graph and queries."""
+    inputs = fingerprint(queries, g.triples, g.entities, g.relations, g.entity_vectors, g.relation_vectors, g.judgements)
+    key = asdict(cfg) | {"inputs": inputs, "gamma": g.gamma, "dim": g.dim}
     one = stage(spark, folder, "one_hop", key, lambda: graph.one_hop(g, queries, cfg.top_k_one_hop, cfg.mask_answer))
     path = stage(spark, folder, "paths", key, lambda: structural(g, queries, cfg)[1])
     a = ontology.reweight_one_hop(one, g, cfg.top_k_one_hop, cfg.fast_ontology)

@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
@@ -23,15 +24,29 @@ def config_key(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def fingerprint(*inputs: DataFrame) -> list[str]:
+    """Row count and an order-free checksum of each input; one aggregation each, a few bytes reach the driver."""
+    out = []
+    for df in inputs:
+        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).cast("decimal(38,0)")).alias("s")).first()
+        out.append(f"{','.join(df.columns)}:{r['n']}:{r['s']}")
+    return out
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def stage(spark: SparkSession, folder: str, name: str, config: dict, build: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
-    """Reads a stage that was written under the same settings, or builds and writes it."""
+    """Reads a stage that was written whole under the same settings, or builds and writes it.
+
+    `config` has to name everything that the rows depend on; `fingerprint` gives that of inputs.
+    """
     path = f"{folder}/{name}-{config_key(config)}"
-    if use_cache:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").parquet(path)
+    if not (use_cache and complete(spark, path)):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -37,6 +37,10 @@ class Graph:
     dim: int = DIM
 
 
+#: The triples that are kept now.
+_kept: list[DataFrame] = []
+
+
 def load(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ident = lambda base, c: (F.lit(base).cast("long") + F.col(c)).alias
@@ -65,8 +69,13 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     k = F.pmod(F.col("h") * 31 + F.col("r") * 17 + F.col("t"), F.lit(100))
     split = F.when(k < 90, "train").when(k < 95, "valid").otherwise("test")
     order = F.when(k < 90, 0).when(k < 95, 1).otherwise(2)
-    # read several times by most queries; one copy is kept, and a lost part is made again
+    # read several times by most queries; one copy is kept until the next graph is loaded, and a lost part is made again
+    while _kept:
+        old = _kept.pop()
+        if old.sparkSession is spark:
+            old.unpersist()
     triples = facts.select(split.alias("split"), order.alias("ord"), "h", "r", "t").persist()
+    _kept.append(triples)
     relations = spark.createDataFrame(RELATIONS, "r int, r_label string, domain string, range string")
     emb = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     n = emb.count()

@@ -29,6 +29,13 @@ def test_pipeline(spark, tmp_path):
     assert "Ann --[worksFor]--> Acme" in out["evidence"].first()["evidence_text"]
     again = pipeline.run(spark, g, q, str(tmp_path))
     assert again["candidates"].count() == 4
+    # other queries in the same folder get rows of their own, and a folder that was not finished is made again
+    other = spark.createDataFrame([(4, 3, 2)], "head long, relation int, gold long")
+    mine = pipeline.run(spark, g, other, str(tmp_path))["candidates"]
+    assert {x["head"] for x in mine.collect()} == {4}
+    for done in tmp_path.glob("candidates-*/_SUCCESS"):
+        done.unlink()
+    assert {x["head"] for x in pipeline.run(spark, g, q, str(tmp_path))["candidates"].collect()} == {0}
 
 
 def test_clients(spark):
