@@ -12,6 +12,9 @@ from .text import normalize_class
 CLASS_KEYS = ("classlabel", "class_label", "classname", "class_name", "classes", "types", "type")
 CLASS_ID_KEYS = ("classid", "class_id", "class")
 RANGE_KEYS = ("range", "ranges", "tail_type", "tail_class", "tail_domain", "object_type")
+LOADED_KEYS = ("classname", "class_name")
+PREFERRED_KEYS = ("classname", "class_name", "classes", "types", "type")
+PREFERRED_ID_KEYS = ("class", "classid", "class_id")
 DOMAIN_KEYS = ("domain", "domains", "head_type", "head_class", "subject_type")
 
 
@@ -80,3 +83,56 @@ def primary_class(classes) -> Column:
 def class_type_keys(raw) -> Column:
     """Top-level keys whose lower-cased name has `class` or `type`, in order."""
     return F.filter(F.json_object_keys(col(raw)), lambda k: F.lower(k).rlike("class|type"))
+
+
+def class_type_fields(raw) -> Column:
+    """The top-level keys of `class_type_keys` with their values as JSON."""
+    return F.map_filter(F.from_json(col(raw), "map<string,string>"), lambda k, v: F.lower(k).rlike("class|type"))
+
+
+def _first(raw, keys, holds, value) -> Column:
+    """The value under the first key that holds, else null."""
+    out = F.lit(None)
+    for k in reversed(keys):
+        out = F.when(holds(k), value(k)).otherwise(out)
+    return out
+
+
+def _is_present(raw):
+    return lambda k: F.coalesce(F.array_contains(F.json_object_keys(col(raw)), k), F.lit(False))
+
+
+def is_filled(v: Column) -> Column:
+    """Neither null, empty, 0 nor false."""
+    return F.coalesce(~v.isin("", "0", "false", "[]", "{}"), F.lit(False))
+
+
+def class_id(raw) -> Column:
+    """The value under the first class-id key that the record has, null included."""
+    return _first(raw, CLASS_ID_KEYS, _is_present(raw), lambda k: F.get_json_object(col(raw), f"$.{k}"))
+
+
+def loaded_names(raw) -> Column:
+    """The class name that a record is loaded with, as a list."""
+    holds = lambda k: is_filled(F.get_json_object(col(raw), f"$.{k}"))
+    return F.coalesce(_first(raw, LOADED_KEYS, holds, lambda k: to_list(raw, k)), F.array().cast("array<string>"))
+
+
+def loaded_ids(raw) -> Column:
+    """The class id that a record is loaded with, as a list."""
+    return F.coalesce(_first(raw, CLASS_ID_KEYS, _is_present(raw), lambda k: to_list(raw, k)), F.array().cast("array<string>"))
+
+
+def _filled_ids(raw) -> Column:
+    return F.when(is_filled(class_id(raw)), loaded_ids(raw)).otherwise(F.array().cast("array<string>"))
+
+
+def loader_classes(raw) -> Column:
+    """Loaded class name and class id together; an id of 0 is left out."""
+    return clean_distinct(F.concat(loaded_names(raw), _filled_ids(raw)))
+
+
+def preferred_classes(raw) -> Column:
+    """Named classes without numeric ones, else all class ids, numeric ones too."""
+    named = without_numeric(clean_distinct(_under(raw, PREFERRED_KEYS)))
+    return F.when(F.size(named) > 0, named).otherwise(clean_distinct(F.concat(_filled_ids(raw), _under(raw, PREFERRED_ID_KEYS))))

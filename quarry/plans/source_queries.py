@@ -101,10 +101,32 @@ def _(table):
     return x.select("pos", F.array_join(cl.relation_range("raw", True), "|").alias("kept"), F.array_join(cl.relation_range("raw"), "|").alias("range"), F.array_join(cl.relation_domain("raw"), "|").alias("domain"))
 
 
-@query("quality_counters", "SELECT count(*) AS total, count(*) FILTER (p_partkey % 3 = 9) AS empty_label, count(*) FILTER (p_partkey % 3 = 2) AS numeric_label, count(*) FILTER (p_partkey % 5 IN (1, 2)) AS empty_classname, count(*) FILTER (p_partkey % 5 >= 3) AS numeric_classname, count(*) FILTER (p_partkey % 5 = 3) AS with_class_id, count(*) FILTER (p_partkey % 5 <> 3) AS with_class, count(*) FILTER (p_partkey % 5 IN (1, 2)) AS with_several, count(*) AS with_class_key, 'ok' AS diagnosis FROM part")
+COUNTED = {
+    "has_classname": "0, 3, 4", "missing_classname": "1, 2", "numeric_classname": "3, 4", "non_numeric_classname": "0", "has_class_id": "3, 4", "missing_class_id": "0, 1, 2", "numeric_class_id": "3", "non_numeric_class_id": "4",
+    "current_loader_classes_contain_numeric": "3, 4", "preferred_classes_contain_numeric": "3", "preferred_classes_missing": "9",
+}
+
+
+@query("quality_counters", "SELECT count(*) AS total_entities, " + ", ".join(f"count(*) FILTER (p_partkey % 5 IN ({k})) AS {name}" for name, k in COUNTED.items()) + ", 'numeric_classname_in_records' AS diagnosis FROM part")
+def _(table):
+    return quality.diagnosed(quality.counters(loader.entities(part_records(table))))
+
+
+LISTED = {
+    "numeric_classname_examples": "3, 4", "numeric_class_id_examples": "3", "current_loader_numeric_class_examples": "3, 4", "preferred_numeric_class_examples": "3",
+    "missing_classname_examples": "1, 2", "normal_classname_examples": "0", "raw_class_field_examples": "0, 1, 2, 3, 4",
+}
+SHOWN = "CASE WHEN list LIKE 'current%' THEN CASE p_partkey % 5 WHEN 3 THEN '77|5' ELSE '77|tool' END WHEN list LIKE 'preferred%' THEN '5' END"
+
+
+@query(
+    "quality_examples",
+    f"SELECT list, place, p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 3 THEN '77' WHEN 4 THEN '77' END AS classname, CASE p_partkey % 5 WHEN 3 THEN '5' WHEN 4 THEN 'Tool' END AS class_id, {SHOWN} AS classes FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY p_partkey) AS place FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS list, p_partkey, p_type FROM part WHERE p_partkey % 5 IN ({k})" for name, k in LISTED.items()) + ")) WHERE place <= 10",
+)
 def _(table):
-    c = quality.counters(loader.entities(part_records(table)))
-    return c.withColumn("diagnosis", quality.diagnosis(F.col("total"), F.col("with_class"), F.col("empty_classname")))
+    e = quality.examples(loader.entities(part_records(table)))
+    return e.select("list", F.col("place").cast("long").alias("place"), "id", "classname", "class_id", F.array_join("classes", "|").alias("classes"))
 
 
 @query("quality_key_histogram", "SELECT k AS key, count(*) AS n FROM (SELECT unnest(string_split(CASE p_partkey % 5 WHEN 1 THEN 'classes' WHEN 2 THEN 'types' WHEN 3 THEN 'classname|class_id' WHEN 4 THEN 'classname|class' ELSE 'classname' END, '|')) AS k FROM part) GROUP BY 1")

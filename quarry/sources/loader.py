@@ -57,9 +57,9 @@ def _last_wins(df: DataFrame) -> DataFrame:
 
 
 def entities(items: DataFrame) -> DataFrame:
-    """id, pos, label, external_id, classes and raw of entity records; a record without an id is an error."""
+    """id, pos, label, external_id, classname, class_id, classes and raw of entity records; a record without an id is an error."""
     ident = F.coalesce(record_id("entity"), F.raise_error(F.lit("an entity has no id")).cast("long"))
-    out = items.select(ident.alias("id"), "pos", F.coalesce(first_filled(LABEL_KEYS["entity"]), record_id("entity").cast("string")).alias("label"), first_filled(EXTERNAL_KEYS).alias("external_id"), first_filled(("classname", "class_name")).alias("classname"), cl.entity_classes("raw").alias("classes"), "raw")
+    out = items.select(ident.alias("id"), "pos", F.coalesce(first_filled(LABEL_KEYS["entity"]), record_id("entity").cast("string")).alias("label"), first_filled(EXTERNAL_KEYS).alias("external_id"), first_filled(("classname", "class_name")).alias("classname"), cl.class_id("raw").alias("class_id"), cl.entity_classes("raw").alias("classes"), "raw")
     return _last_wins(out)
 
 
