@@ -228,6 +228,18 @@ def _(graph, qs):
     return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", "h", F.col("r").cast("long").alias("r"), "t", r6("filtered").alias("filtered"), "eta", "eta_relation", F.col("pos").cast("long").alias("pos"))
 
 
+@query(
+    "kg_query_classes",
+    "SELECT head, relation::BIGINT AS relation, gold, string_agg(c, '|' ORDER BY first) AS classes FROM (SELECT head, relation, gold, c, min(place) AS first FROM"
+    " (SELECT head, relation, gold, unnest(classes) AS c, place * 10 + unnest(range(len(classes))) AS place FROM (SELECT head, relation, gold, t AS id, pos * 10 AS place FROM one"
+    " UNION ALL SELECT head, relation, gold, t1, 1000 + pos * 10 FROM path UNION ALL SELECT head, relation, gold, t2, 1001 + pos * 10 FROM path) JOIN ent USING (id)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3",
+    every=SEARCHED, more=COS + ONE + PATHS[len(HOP):],
+)
+def _(graph, qs):
+    x = ontology.query_classes(g.one_hop(graph, qs), g.paths(graph, qs), graph)
+    return x.select("head", F.col("relation").cast("long").alias("relation"), "gold", F.array_join("classes", "|").alias("classes"))
+
+
 @query("kg_ontology_paths", f"SELECT head, relation::BIGINT AS relation, gold, t2 AS terminal, round(a.eta * b.eta, 6) AS eta, round(score * a.eta * b.eta, 6) + 0.0 AS filtered, row_number() OVER ({Q} ORDER BY round(score * (a.eta * b.eta), 9) DESC, pos) AS pos FROM path JOIN eta a ON a.id = t1 AND a.rid = r1 JOIN eta b ON b.id = t2 AND b.rid = r2", every=SEARCHED, more=COS + PATHS + ETA)
 def _(graph, qs):
     x = ontology.reweight_paths(g.paths(graph, qs), graph)
