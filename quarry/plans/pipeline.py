@@ -25,6 +25,7 @@ class EvidenceConfig:
     fast_ontology: bool = False
     max_evidence: int = 5
     token_budget: int = 800
+    gold_path: bool = False  #: puts a path to the answer before the evidence; it reads the answer
     rank: RankConfig = field(default_factory=RankConfig)
 
 
@@ -41,7 +42,14 @@ def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: Evi
     path = stage(spark, folder, "paths", key, lambda: structural(g, queries, cfg)[1])
     a = ontology.reweight_one_hop(one, g, cfg.top_k_one_hop, cfg.fast_ontology)
     b = ontology.reweight_paths(path, g, cfg.top_k_paths)
-    evidence = stage(spark, folder, "compressed", key, lambda: selection.compress(selection.merged(a, b, g), cfg.max_evidence, cfg.token_budget))
+
+    def compressed() -> DataFrame:
+        chosen = selection.compress(selection.merged(a, b, g), cfg.max_evidence, cfg.token_budget)
+        if not cfg.gold_path:
+            return chosen
+        return selection.with_gold_path(chosen, selection.gold_augmentation(queries, candidates.candidate_set(g, queries), g, enabled=True), g)
+
+    evidence = stage(spark, folder, "compressed", key, compressed)
     found = stage(spark, folder, "candidates", key, lambda: candidates.shared_patterns(candidates.build(g, queries, cfg.rank.mode, size=cfg.rank.candidate_size), g))
     results = evaluate(found, g, make_client, evidence, cfg.rank)
     return {"evidence": evidence, "candidates": found, "results": results, "means": metrics.means(results)}
