@@ -33,18 +33,15 @@ class Codec:
         text |= {i: t for t, i in self.vocab.special.items()}
         self.text = text
         self.byte_level = self.vocab.tokenizer.decoder is not None
+        self.back = {c: b for b, c in enumerate(ps.byte_chars())}
 
     def _make(self, piece: bytes, flag: int) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens of a fragment, both joined by one space."""
-        if flag == 2:
-            return 1, str(self.vocab.special[piece.decode()]), piece.decode()
-        tokens = self.vocab.model_tokens(piece, flag == 1)
-        if len(tokens) == 1:
-            return 1, str(tokens[0].id), tokens[0].value
-        return len(tokens), " ".join([str(t.id) for t in tokens]), " ".join([t.value for t in tokens])
+        """Number of ids of a fragment, the ids joined by one space, and the text they decode to."""
+        ids = [self.vocab.special[piece.decode()]] if flag == 2 else [t.id for t in self.vocab.model_tokens(piece, flag == 1)]
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def batches(self, col: pa.Array):
-        """(first document, one after the last, pieces, (number of ids, ids, tokens) of each distinct piece)."""
+        """(first document, one after the last, pieces, (number of ids, ids, decoded text) of each distinct piece)."""
         for i, j, step in ps.pieces(self.vocab, col, self.joined):
             yield i, j, step, self.vocab.lookup("codec", step.distinct, step.flags, self._make)
 
@@ -64,8 +61,7 @@ class Codec:
         """
         if not self.byte_level:
             return " ".join(self.text[i] for i in ids if i in self.text)
-        back = {c: b for b, c in enumerate(ps.byte_chars())}
-        return b"".join(bytes(back[c] for c in self.text[i]) for i in ids if i in self.text).decode("utf-8", "replace")
+        return b"".join(bytes(self.back[c] for c in self.text[i]) for i in ids if i in self.text).decode("utf-8", "replace")
 
 
 def _digests(path: str):
