@@ -160,13 +160,10 @@ def _tokenize(path: str, window: int, with_ids: bool):
         part = TaskContext.get().partitionId()
         seen, windows = np.zeros(window, np.int64), 0
 
-        def make(piece, flag):
-            return np.array([vocab.special[piece.decode()]] if flag == 2 else [t.id for t in vocab.model_tokens(piece)], np.uint32)
-
         for batch in batches:
             cols = {k: [] for k in ("n", "rank", "first", "crcs", "tail", "ids")}
             for i, j, step in ps.pieces(vocab, batch.column(1)):
-                flat, size = ps.flat_ids(vocab.lookup("ids", step.distinct, step.flags, make), step.of)
+                flat, size = vocab.ids(step.distinct, step.flags, step.of)
                 n_doc = np.bincount(step.doc, weights=size, minlength=j - i).astype(np.int64) if len(size) else np.zeros(j - i, np.int64)
                 at = 0
                 for n in n_doc.tolist():

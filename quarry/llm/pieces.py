@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from . import textscan as ts
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 #: Distinct pieces that a worker keeps with their ids; when full, the table starts anew.
 CACHE_PIECES = 400_000
+#: Ids that such a table holds before it starts anew.
+CACHE_IDS = 8_000_000
 #: The contractions of the public pre-tokenizer pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -163,6 +167,8 @@ class Vocabulary:
         self.chars = {b: c for b, c in enumerate(byte_chars())}
         self._inner = None
         self._seen: dict[str, dict] = {}
+        self._rows: dict[bytes, int] = {}
+        self._ids, self._ends = array("I"), array("q", [0])
 
     @property
     def inner_model(self):
@@ -194,21 +200,55 @@ class Vocabulary:
     def model_tokens(self, piece: bytes, ends_word: bool = True) -> list:
         """The tokens of one piece, from the tokenizer's model."""
         model = self.model if ends_word else self.inner_model
-        return model.tokenize(piece.decode() if piece.isalpha() else piece.decode("latin-1").translate(self.chars))
+        if piece.isalpha():
+            return model.tokenize(piece.decode())
+        if piece[:1] == b" " and piece[1:].isalpha():
+            return model.tokenize(self.chars[0x20] + piece[1:].decode())
+        return model.tokenize(piece.decode("latin-1").translate(self.chars))
 
     def lookup(self, kind: str, pieces: list[bytes], flags: list[int], make: Callable) -> list:
         """`make(piece, flag)` of each piece, kept in a table of bounded size for each kind of answer."""
         seen = self._seen.setdefault(kind, {})
         if len(seen) + len(pieces) > CACHE_PIECES:
             seen.clear()
-        # 0xFF is in no UTF-8 text, so a fragment inside a word has a key of its own
-        keys = pieces if min(flags, default=1) == max(flags, default=1) == 1 else [p if f == 1 else p + bytes([0xFF, f]) for p, f in zip(pieces, flags, strict=True)]
+        keys = _keys(pieces, flags)
         out = list(map(seen.get, keys))
         for k, got in enumerate(out):
             if got is None:
                 out[k] = seen[keys[k]] = make(pieces[k], flags[k])
         return out
 
+    def ids(self, pieces: list[bytes], flags: list[int], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces `of` names, in their order, and the number of ids of each.
+
+        Ids of distinct pieces are kept behind each other in one table of bounded size.
+        """
+        if len(self._rows) + len(pieces) > CACHE_PIECES or len(self._ids) > CACHE_IDS:
+            self._rows, self._ids, self._ends = {}, array("I"), array("q", [0])
+        keys = _keys(pieces, flags)
+        row = np.fromiter(map(self._rows.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        first = len(self._rows)
+        for k in new.tolist():
+            if flags[k] == 2:
+                self._ids.append(self.special[pieces[k].decode()])
+            else:
+                self._ids.extend([t.id for t in self.model_tokens(pieces[k], flags[k] == 1)])
+            self._ends.append(len(self._ids))
+        row[new] = np.arange(first, first + len(new))
+        self._rows.update(zip((keys[k] for k in new.tolist()), range(first, first + len(new)), strict=True))
+        pool, ends = np.array(self._ids, np.uint32), np.array(self._ends, np.int64)
+        base, n = ends[row][of], (ends[row + 1] - ends[row])[of]
+        upto = np.cumsum(n)
+        return pool[np.repeat(base - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)], n
+
+
+def _keys(pieces: list[bytes], flags: list[int]) -> list[bytes]:
+    """0xFF is in no UTF-8 text, so a fragment inside a word has a key of its own."""
+    if min(flags, default=1) == max(flags, default=1) == 1:
+        return pieces
+    return [p if f == 1 else p + bytes([0xFF, f]) for p, f in zip(pieces, flags, strict=True)]
+
 
 _open: dict[str, Vocabulary] = {}
 
@@ -255,7 +295,7 @@ class Pieces:
         self.doc = doc
         eight, size = ts.octets(buf), ends - starts
         h = ts.range_hashes(buf, starts, ends, eight) ^ flags.astype(np.uint64)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         hs = h[order]
         new = np.empty(len(h), bool)
         if len(h):
@@ -325,14 +365,3 @@ def pieces(vocab: Vocabulary, col: pa.Array, cut_pairs: np.ndarray | None = None
                 flags = np.where(all_ends == ends[src], flags[src], 0)
                 starts, ends, unit = all_starts, all_ends, unit[src]
         yield i, j, Pieces(buf, starts, ends, doc[unit], flags)
-
-
-def flat_ids(values: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in piece order, and the number of ids of each piece."""
-    size = np.array([len(v) for v in values], np.int64)
-    base = np.concatenate([[0], np.cumsum(size)])[:-1] if len(values) else size
-    pool = np.concatenate(values) if values else np.empty(0, np.int64)
-    n = size[of]
-    total = int(n.sum())
-    ahead = np.cumsum(n) - n
-    return pool[np.repeat(base[of] - ahead, n) + np.arange(total)], n
