@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import candidates, graph, metrics, ontology, selection
-from quarry.plans.ranking import RankConfig, evaluate
+from quarry.plans.ranking import RankConfig, evaluate, judge_pairs, judge_queries
 from quarry.sources.sinks import fingerprint, stage
 from quarry.sources.star_kg import Graph
 
@@ -34,14 +34,35 @@ def structural(g: Graph, queries: DataFrame, cfg: EvidenceConfig) -> tuple[DataF
     return one, graph.paths(g, queries, cfg.top_k_paths, max_hops=cfg.max_hops, branch=cfg.max_branch, most=cfg.max_paths, mask=cfg.mask_answer)
 
 
-def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: EvidenceConfig = EvidenceConfig(), make_client=None) -> dict[str, DataFrame]:
-    """Evidence, candidates, results and means; the stages are written below `folder`, under their settings, graph and queries."""
+def judged(spark: SparkSession, folder: str, key: dict, g: Graph, one: DataFrame, path: DataFrame, cfg: EvidenceConfig, make_judge=None) -> tuple[Graph, DataFrame | None]:
+    """The graph with the judgements that the evidence needs, and the etas of the fast mode if it is on.
+
+    With a client that judges, pairs that are not known are asked once each, or each signature once
+    in the fast mode; the answers are a stage of their own, so no later step asks again.
+    """
+    if not cfg.fast_ontology:
+        if make_judge is None:
+            return g, None
+        pairs = ontology.required_pairs(ontology.needed_items(one, path, g))
+        new = stage(spark, folder, "judgements", key, lambda: judge_pairs(pairs, g.judgements, make_judge, cfg.rank.retries))
+        return replace(g, judgements=g.judgements.unionByName(new)), None
+    tasks = stage(spark, folder, "fast_tasks", key, lambda: ontology.fast_tasks(one, path, g))
+    answers = None if make_judge is None else stage(spark, folder, "fast_judgements", key, lambda: judge_queries(tasks, make_judge, cfg.rank.retries))
+    return g, ontology.fast_etas(one, path, g, tasks, answers)
+
+
+def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: EvidenceConfig = EvidenceConfig(), make_client=None, make_judge=None) -> dict[str, DataFrame]:
+    """Evidence, candidates, results and means; the stages are written below `folder`, under their settings, graph and queries.
+
+    make_client ranks candidates, make_judge judges classes; without them the default order and the known judgements serve.
+    """
     inputs = fingerprint(queries, g.triples, g.entities, g.relations, g.entity_vectors, g.relation_vectors, g.judgements)
-    key = asdict(cfg) | {"inputs": inputs, "gamma": g.gamma, "dim": g.dim}
+    key = asdict(cfg) | {"inputs": inputs, "judge": make_judge is not None, "gamma": g.gamma, "dim": g.dim}
     one = stage(spark, folder, "one_hop", key, lambda: graph.one_hop(g, queries, cfg.top_k_one_hop, cfg.mask_answer))
     path = stage(spark, folder, "paths", key, lambda: structural(g, queries, cfg)[1])
-    a = ontology.reweight_one_hop(one, g, cfg.top_k_one_hop, cfg.fast_ontology)
-    b = ontology.reweight_paths(path, g, cfg.top_k_paths)
+    g, fast = judged(spark, folder, key, g, one, path, cfg, make_judge)
+    a = ontology.reweight_one_hop(one, g, cfg.top_k_one_hop, fast)
+    b = ontology.reweight_paths(path, g, cfg.top_k_paths, fast)
 
     def compressed() -> DataFrame:
         chosen = selection.compress(selection.merged(a, b, g), cfg.max_evidence, cfg.token_budget)

@@ -86,7 +86,7 @@ def pair_prompt(entity_class: Column, range_class: Column) -> Column:
 
 def classes_prompt(classes: Column, ranges: Column) -> Column:
     """Asks how each of several classes relates to the expected ones, in one call."""
-    return F.concat(F.lit("Expected classes: "), text.class_list(ranges), F.lit("\nJudge each class: "), text.class_list(classes), F.lit('\nEach one of: subclass_or_same, parent_of_range, overlap_related, disjoint.\nReply with JSON only: {"judgments": [{"class": "...", "relation": "..."}]}'))
+    return F.concat(F.lit("Expected classes: "), text.class_list(ranges), F.lit("\nJudge each class: "), text.class_list(classes), F.lit('\nEach one of: subclass_or_same, parent_of_range, overlap_related, disjoint.\nReply with JSON only: {"judgments": [{"entity_class": "...", "relation": "..."}]}'))
 
 
 def ranking_prompts(candidates: DataFrame, graph: Graph, evidence: DataFrame | None = None, cfg: RankConfig = RankConfig()) -> DataFrame:
@@ -137,3 +137,17 @@ def judge_pairs(pairs: DataFrame, judgements: DataFrame, make_client: Callable[[
     said = ask(todo, make_client, retries).withColumn("json", replies.json_object(replies.clean_reply("reply")))
     label = F.get_json_object("json", "$.relation")
     return said.select("entity_class", "range_class", F.when(label.isNull(), "llm_error_fallback").otherwise(text.judgement(label)).alias("relation"), F.when(label.isNull(), ontology.FALLBACK).otherwise(text.judgement_score(text.judgement(label))).alias("score"))
+
+
+def judge_queries(tasks: DataFrame, make_client: Callable[[], Client], retries: int = 2) -> DataFrame:
+    """The fast mode: one call for each distinct signature, giving (signature, entity_class, relation, score).
+
+    The last judgement of a class counts; a failed reply gives no rows, so its classes get the fallback score.
+    """
+    todo = tasks.groupBy("signature").agg(F.min(F.struct("classes", "ranges")).alias("x")).select("signature", classes_prompt(F.col("x.classes"), F.col("x.ranges")).alias("prompt"))
+    said = ask(todo, make_client, retries).withColumn("json", replies.json_object(replies.clean_reply("reply")))
+    rows = F.from_json(F.get_json_object("json", "$.judgments"), "array<string>")  # an element that is no object spoils no other
+    field = lambda name: F.coalesce(F.get_json_object("x", f"$.{name}"), F.lit(""))
+    named = said.select("signature", F.posexplode(rows).alias("i", "x")).select("signature", "i", text.normalize_class(field("entity_class")).alias("entity_class"), text.judgement(field("relation")).alias("relation"))
+    last = named.where(F.col("entity_class") != "").groupBy("signature", "entity_class").agg(F.max_by("relation", "i").alias("relation"))
+    return last.withColumn("score", text.judgement_score("relation"))

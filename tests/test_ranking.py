@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import candidates
+from quarry.operators import candidates, graph, ontology
 from quarry.plans import pipeline, ranking
 from quarry.sources import sinks
 from tests import toy
@@ -64,3 +64,35 @@ def test_judging(spark, tmp_path):
     assert sinks.read_judgements(spark, str(tmp_path / "j")).count() == 1
     sinks.write_jsonl(known, str(tmp_path / "x"))
     assert spark.read.json(str(tmp_path / "x")).select(F.max("score")).first()[0] == 0.9
+
+
+def test_fast_mode(spark, tmp_path):
+    g = toy.graph(spark)
+    q = spark.createDataFrame(toy.TEST, "head long, relation int, gold long")
+    one, path = graph.one_hop(g, q), graph.paths(g, q)
+    task = ontology.fast_tasks(one, path, g).first()
+    assert task["ranges"] == ["city"] and set(task["classes"]) == {"company", "city", "country"}
+    assert task["signature"] == "r=0::range=city::classes=city||company||country"
+    # without a model: equal names are the same, other classes get the fallback, whatever their own relation's range
+    etas = {r["t"]: (r["eta"], r["eta_relation"]) for r in ontology.fast_etas(one, path, g).collect()}
+    assert etas[5] == (1.0, "subclass_or_same") and etas[4] == (0.8, "no_llm_fallback")
+    by_path = {tuple(s["t"] for s in r["steps"]): r["eta"] for r in ontology.reweight_paths(path, g, fast=ontology.fast_etas(one, path, g)).collect()}
+    assert by_path[(5, 3)] == 0.8  # France is a country, not the city that livesIn expects; precisely it fits locatedIn
+    assert {tuple(s["t"] for s in r["steps"]): r["eta"] for r in ontology.reweight_paths(path, g).collect()}[(5, 3)] == 1.0
+    # a judgement under another signature does not count
+    reply = '{"judgments": [{"entity_class": "Company", "relation": "same"}, {"entity_class": "company", "relation": "irrelevant"}, {"entity_class": "country", "relation": "overlap"}, 5]}'
+    answers = ranking.judge_queries(ontology.fast_tasks(one, path, g), lambda: Fixed(reply))
+    assert {(r["entity_class"], r["relation"], r["score"]) for r in answers.collect()} == {("company", "disjoint", 0.5), ("country", "overlap_related", 0.8)}
+    etas = {r["t"]: (r["eta"], r["eta_relation"]) for r in ontology.fast_etas(one, path, g, judged=answers).collect()}
+    assert etas[4] == (0.5, "disjoint") and etas[5] == (0.8, "no_llm_fallback")
+    other = answers.withColumn("signature", F.lit("r=1::range=city::classes=company"))
+    assert {r["t"]: r["eta"] for r in ontology.fast_etas(one, path, g, judged=other).collect()}[4] == 0.8
+    # the pipeline asks once, writes the answers as a stage and weighs by them; no answer is asked for again
+    for fast, name, reply in ((True, "fast_judgements", reply), (False, "judgements", '{"relation": "disjoint"}')):
+        cfg = pipeline.EvidenceConfig(fast_ontology=fast, rank=ranking.RankConfig(retries=0))
+        out = pipeline.run(spark, g, q, str(tmp_path), cfg, make_judge=lambda: Fixed(reply))  # noqa: B023
+        assert out["evidence"].first()["n"] == 3
+        written = [str(p) for p in tmp_path.glob(f"{name}-*")]
+        assert len(written) == 1 and 0.5 in {r["score"] for r in spark.read.parquet(*written).collect()}
+        again = pipeline.run(spark, g, q, str(tmp_path), cfg, make_judge=lambda: Fixed(None))
+        assert again["evidence"].first()["n"] == 3 and len(list(tmp_path.glob(f"{name}-*"))) == 1
