@@ -363,6 +363,14 @@ def _(graph, qs):
     return selection.compress(selection.merged(a, b, graph)).drop("chosen")
 
 
+@query("kg_source_statistics", every=SEARCHED)
+def _(graph, qs):
+    a = ontology.reweight_one_hop(g.one_hop(graph, qs), graph)
+    b = ontology.reweight_paths(g.paths(graph, qs), graph)
+    items = selection.merged(a, b, graph)
+    return selection.source_statistics(qs, a, b, items, selection.compress(items)).withColumn("relation", F.col("relation").cast("long"))
+
+
 def flagship(spark, sf_dir):
     """Filtered candidate sets of the searched test triples."""
     graph = star_kg.load(spark, sf_dir)

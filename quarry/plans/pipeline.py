@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators import candidates, graph, metrics, ontology, selection
 from quarry.plans.ranking import RankConfig, evaluate, judge_pairs, judge_queries
-from quarry.sources.sinks import fingerprint, stage
+from quarry.sources.sinks import complete, config_key, fingerprint, read_evaluation, stage, write_evaluation
 from quarry.sources.star_kg import Graph
 
 
@@ -55,6 +55,7 @@ def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: Evi
     """Evidence, candidates, results and means; the stages are written below `folder`, under their settings, graph and queries.
 
     make_client ranks candidates, make_judge judges classes; without them the default order and the known judgements serve.
+    What a model answered is written and read again in later runs, failed calls included; another folder asks anew.
     """
     inputs = fingerprint(queries, g.triples, g.entities, g.relations, g.entity_vectors, g.relation_vectors, g.judgements)
     key = asdict(cfg) | {"inputs": inputs, "judge": make_judge is not None, "gamma": g.gamma, "dim": g.dim}
@@ -72,5 +73,10 @@ def run(spark: SparkSession, g: Graph, queries: DataFrame, folder: str, cfg: Evi
 
     evidence = stage(spark, folder, "compressed", key, compressed)
     found = stage(spark, folder, "candidates", key, lambda: candidates.shared_patterns(candidates.build(g, queries, cfg.rank.mode, size=cfg.rank.candidate_size), g))
-    results = evaluate(found, g, make_client, evidence, cfg.rank)
-    return {"evidence": evidence, "candidates": found, "results": results, "means": metrics.means(results)}
+    # answers of a model are asked once: the evaluation is written before anything is read from it
+    saved = f"{folder}/evaluation-{config_key(key | {'client': make_client is not None})}"
+    if not complete(spark, f"{saved}/summary"):
+        answers = stage(spark, folder, "answers", key | {"client": make_client is not None}, lambda: evaluate(found, g, make_client, evidence, cfg.rank))
+        write_evaluation(answers, {"metrics": metrics.means(answers), "default_candidate_baseline_metrics": metrics.baseline_means(answers)}, asdict(cfg), saved)
+    results, _ = read_evaluation(spark, saved)
+    return {"evidence": evidence, "candidates": found, "results": results, "means": metrics.means(results), "baseline": metrics.baseline_means(results)}

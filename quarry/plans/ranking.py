@@ -116,19 +116,20 @@ def ranking_prompts(candidates: DataFrame, graph: Graph, evidence: DataFrame | N
 
 
 def evaluate(candidates: DataFrame, graph: Graph, make_client: Callable[[], Client] | None = None, evidence: DataFrame | None = None, cfg: RankConfig = RankConfig()) -> DataFrame:
-    """Per query: status, predicted ids, rank, rr and hits; without a client the default order answers."""
+    """Per query: status, predicted ids, rank, rr and hits, and the rank in the candidates' own order, which answers without a client."""
     ids = candidates.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     base = ranking_prompts(candidates, graph, evidence, cfg)
     if make_client is None:
         said = base.withColumn("reply", F.lit(None).cast("string")).withColumn("picked", F.lit(None).cast("array<long>")).withColumn("status", F.lit("default_candidate_order_only"))
     else:
         said = ask(base, make_client, cfg.retries, cfg.sleep).withColumn("picked", replies.ranked_indices("reply", cfg.top_k, "n"))
-        said = said.withColumn("status", F.when(F.col("reply").isNull(), "failed_llm_api").when(F.col("picked").isNull(), "failed_parse_filled_by_default_order").otherwise("ok"))
+        said = said.withColumn("status", F.when(F.col("reply").isNull(), "failed_llm_api").when(F.col("picked").isNull(), metrics.PARSE_FAILED).otherwise("ok"))
     filled = replies.complete_indices("picked", cfg.top_k, "n") if cfg.fill_failures or make_client is None else F.coalesce("picked", F.array().cast("array<long>"))
     answered = F.when(F.col("status") == "failed_llm_api", F.array().cast("array<long>")).otherwise(filled)
     out = said.withColumn("indices", answered).join(ids, KEY)
     out = out.withColumn("predicted", F.transform("indices", lambda i: F.get("ids", i.cast("int")))).withColumn("rank", metrics.rank_in("predicted", "gold"))
-    return out.select(*KEY, "status", "predicted", "rank", *metrics.rank_columns("rank"))
+    out = out.withColumn("default_rank", metrics.rank_in(F.slice("ids", 1, cfg.top_k), "gold"))
+    return out.select(*KEY, "status", "predicted", "rank", *metrics.rank_columns("rank"), "default_rank")
 
 
 def judge_pairs(pairs: DataFrame, judgements: DataFrame, make_client: Callable[[], Client], retries: int = 2) -> DataFrame:

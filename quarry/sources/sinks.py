@@ -20,6 +20,27 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_evaluation(results: DataFrame, metrics: dict[str, DataFrame], config: dict, folder: str) -> None:
+    """An evaluation as `results` in Parquet and `summary`, one JSON line: the settings, and one row of each named table.
+
+    The summary comes last, so a folder with one is whole; before the results are replaced, the old summary goes.
+    """
+    spark = results.sparkSession
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/summary")
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    rows = {name: df.first().asDict(recursive=True) for name, df in metrics.items()}  # means: one row each
+    results.write.mode("overwrite").parquet(f"{folder}/results")
+    line = json.dumps({"config": config, **rows}, sort_keys=True, default=str)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
+
+
+def read_evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, dict] | None:
+    """Results and summary of an evaluation that was written to its end, or nothing."""
+    if not complete(spark, f"{folder}/summary"):
+        return None
+    return spark.read.parquet(f"{folder}/results"), json.loads(spark.read.text(f"{folder}/summary").first()[0])
+
+
 def config_key(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import candidates, graph, ontology
+from quarry.operators import candidates, graph, ontology, selection
 from quarry.plans import pipeline, ranking
 from quarry.sources import sinks
 from tests import toy
@@ -29,6 +29,15 @@ def test_pipeline(spark, tmp_path):
     assert "Ann --[worksFor]--> Acme" in out["evidence"].first()["evidence_text"]
     again = pipeline.run(spark, g, q, str(tmp_path))
     assert again["candidates"].count() == 4
+    # the evaluation is on disk, with its settings, means and those of the candidates' own order
+    (saved,) = tmp_path.glob("evaluation-*")
+    rows, summary = sinks.read_evaluation(spark, str(saved))
+    assert rows.count() == 1 and summary["config"]["max_evidence"] == 5
+    assert summary["metrics"]["parse_failed_count"] == 0 and summary["default_candidate_baseline_metrics"]["mrr_at_k"] == 1.0
+    assert sinks.read_evaluation(spark, str(tmp_path / "none")) is None
+    sinks.write_evaluation(rows, {"metrics": out["means"]}, {"a": 1}, str(tmp_path / "twice"))
+    sinks.write_evaluation(rows, {"metrics": out["means"]}, {"a": 2}, str(tmp_path / "twice"))
+    assert sinks.read_evaluation(spark, str(tmp_path / "twice"))[1]["config"] == {"a": 2}
     # other queries in the same folder get rows of their own, and a folder that was not finished is made again
     other = spark.createDataFrame([(4, 3, 2)], "head long, relation int, gold long")
     mine = pipeline.run(spark, g, other, str(tmp_path))["candidates"]
@@ -96,3 +105,17 @@ def test_fast_mode(spark, tmp_path):
         assert len(written) == 1 and 0.5 in {r["score"] for r in spark.read.parquet(*written).collect()}
         again = pipeline.run(spark, g, q, str(tmp_path), cfg, make_judge=lambda: Fixed(None))
         assert again["evidence"].first()["n"] == 3 and len(list(tmp_path.glob(f"{name}-*"))) == 1
+
+
+def test_sources_of_evidence(spark):
+    g = toy.graph(spark)
+    q = spark.createDataFrame([*toy.TEST, (3, 0, 2)], "head long, relation int, gold long")
+    one, path = graph.one_hop(g, q), graph.paths(g, q)
+    raw = selection.merged(one, path, g)  # not re-weighted: raw scores serve
+    assert {i["text"] for i in raw.where("head = 0").first()["items"]} >= {"Ann --[worksFor]--> Acme"}
+    few = selection.merged(one, path, g, min_score=1e9)
+    assert few.count() == 0
+    got = {r["head"]: r for r in selection.source_statistics(q, one, path, raw, selection.compress(raw, most=2)).collect()}
+    assert (got[0]["one_hop_source"], got[0]["path_source"], got[0]["candidates"], got[0]["selected"]) == (one.where("head = 0").count(), path.where("head = 0").count(), 3, 2)
+    assert got[0]["estimated_tokens"] > 0
+    assert not any(got[3][c] for c in ("one_hop_source", "path_source", "candidates", "selected", "estimated_tokens"))
