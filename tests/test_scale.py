@@ -10,7 +10,7 @@ from quarry.sources import star_kg
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["kg_candidates", "kg_candidate_check", "kg_concentration", "kg_filtered_ranks", "kg_shared_patterns"])
+@pytest.mark.parametrize("name", ["kg_candidates", "kg_candidate_check", "kg_concentration", "kg_filtered_ranks", "kg_shared_patterns", "kg_tail_ranking"])
 def test_a_vector_is_scored_once_for_a_vector_and_relation(spark, monkeypatch, name):
     asked, blocks = [], candidates._blocks
 
