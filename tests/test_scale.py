@@ -26,3 +26,17 @@ def test_a_vector_is_scored_once_for_a_vector_and_relation(spark, monkeypatch, n
     assert rows and all(len(x) == len(set(x)) for x in asked)
     assert {(s, r) for s, r, *_ in asked[-1]} == want
     assert sum(x["n"] for x in candidates._counted(graph).collect()) == graph.entities.count()
+
+
+def test_draws_look_at_few_entities(spark):
+    for n in (1, 2, 7, 64, 65, 1000):
+        for key in (0, 1, 2**63 - 1):
+            assert sorted(candidates._shuffled(np.arange(n), np.uint64(key), n).tolist()) == list(range(n))
+    graph = star_kg.load(spark, SMALL)
+    place, n = candidates.numbered(graph)
+    assert sorted(x["place"] for x in place.collect()) == list(range(n)) and n == graph.entities.count()
+    q = gq.test_queries(graph, 2)
+    draw = lambda parts: sorted(map(tuple, candidates.random_candidates(graph, q.repartition(parts)).collect()))
+    got = draw(1)
+    assert got == draw(7) and len(got) == 20 * q.count()
+    assert len({x[3] for x in got}) > 0.9 * min(n, len(got)) * (1 - np.exp(-len(got) / n))  # spread over all entities
