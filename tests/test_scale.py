@@ -40,3 +40,13 @@ def test_draws_look_at_few_entities(spark):
     got = draw(1)
     assert got == draw(7) and len(got) == 20 * q.count()
     assert len({x[3] for x in got}) > 0.9 * min(n, len(got)) * (1 - np.exp(-len(got) / n))  # spread over all entities
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["kg_path_evidence"])
+def test_evidence_is_ranked_where_it_meets(spark, name):
+    text = plan(gq.QUERIES[name](spark, SMALL))
+    assert "Window" not in text and text.count("MapInArrow") == 1
