@@ -19,7 +19,7 @@ PASSAGE_WORDS = 50
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is in a learnt language; texts that are null, without letters or like no language go."""
     learnt = docs.where(~held_out())
-    profiles = langid.fit(learnt)
+    profiles = langid.fit(learnt, per_language=None)
     return langid.recognised(docs, profiles, bound=langid.least_score(learnt, profiles))
 
 

@@ -117,8 +117,8 @@ class Profiles:
     vectors: np.ndarray
 
 
-def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Learns one prototype per language from rows with a language, at most `per_language` texts each.
+def fit(labelled: DataFrame, per_language: int | None = TRAIN_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Learns one prototype per language from rows with a language, at most `per_language` texts each, or from all with None.
 
     The sample is bounded by that parameter: the rows with the smallest hash of their ids.  It is
     chosen without reading texts.  Rows with a null language or id are not learnt from; an empty
@@ -134,10 +134,12 @@ def fit(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, id_col: str
     return Profiles(names, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32))
 
 
-def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _sample(labelled: DataFrame, per_language: int | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(l, t): language and text of the rows that are learnt from."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where("i is not null and l is not null")
+    if per_language is None:
+        return rows.select("l", "t")
     # a draw from the id; the cut, by a table of one row a language, leaves about three times the sample of each language to be ranked, however many rows there are
     drawn = rows.select("i", "l", F.pmod(F.xxhash64("i"), F.lit(1 << 40)).alias("draw"))
     share = drawn.groupBy("l").agg(F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.count("*")).alias("share"))
@@ -148,15 +150,30 @@ def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str,
     return rows.join(F.broadcast(chosen), (F.col("i") == F.col("j")) & (F.col("l") == F.col("m")), "left_semi").select("l", "t")
 
 
-def least_score(labelled: DataFrame, profiles: Profiles, per_language: int = TRAIN_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """The score below which a text of ENOUGH_LETTERS is in no learnt language: LOW_QUANTILE of the rows of `fit`, CHANCE at least.
+#: Bins of scores between 0 and 1 that are counted to find a quantile.
+BINS = 1 << 16
 
-    Fewer than 1 / LOW_QUANTILE rows do not tell that quantile; the bound then is CHANCE.
+
+def least_score(labelled: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score below which a text of ENOUGH_LETTERS is in no learnt language: LOW_QUANTILE of all rows with a language and an id, CHANCE at least.
+
+    Every such row is scored once and counted in its bin of scores; the bound is the lower end of the
+    bin that holds the quantile, so at most that share of them is below it.  Fewer than
+    1 / LOW_QUANTILE rows do not tell that quantile; the bound then is CHANCE.
     """
-    texts = _sample(labelled, per_language, id_col, text_col, lang_col)
-    said = texts.mapInArrow(_predict(profiles, letters=True), "first string, lang_pred string, score double, letters long")
-    low = said.where(F.col("letters") >= ENOUGH_LETTERS).agg(F.count("*").alias("n"), F.percentile("score", F.lit(LOW_QUANTILE)).alias("q")).first()
-    return max(low["q"], CHANCE) if low["n"] * LOW_QUANTILE >= 1 else CHANCE
+    prepare(labelled.sparkSession)
+    texts = labelled.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    said = texts.mapInArrow(_predict(profiles, letters=True), "first string, lang_pred string, score double, letters long").where(F.col("letters") >= ENOUGH_LETTERS)
+    counts = said.groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()  # BINS rows at most
+    total = sum(x["n"] for x in counts)
+    if total * LOW_QUANTILE < 1:
+        return CHANCE
+    below = 0
+    for x in sorted(counts, key=lambda x: x["bin"]):
+        below += x["n"]
+        if below > (total - 1) * LOW_QUANTILE:
+            return max(x["bin"] / BINS, CHANCE)
+    return CHANCE
 
 
 def classify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], list[float]]:

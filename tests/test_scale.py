@@ -46,7 +46,35 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["kg_path_evidence"])
+@pytest.mark.parametrize("name", ["kg_path_evidence", "kg_one_hop_evidence"])
 def test_evidence_is_ranked_where_it_meets(spark, name):
     text = plan(gq.QUERIES[name](spark, SMALL))
-    assert "Window" not in text and text.count("MapInArrow") == 1
+    assert "Window" not in text and "MapInArrow" in text
+
+
+def test_the_least_score_counts_every_learning_row(spark, monkeypatch):
+    from quarry.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = langid.fit(docs)
+    said = langid.identify(docs.where("lang is not null"), profiles).collect()
+    letters = dict(zip([x["doc_id"] for x in docs.collect()], langid._classify([x["text"] for x in docs.collect()], profiles)[2], strict=True))
+    scores = [x["score"] for x in said if letters[x["doc_id"]] >= langid.ENOUGH_LETTERS]
+    monkeypatch.setattr(langid, "CHANCE", 0.0)
+    monkeypatch.setattr(langid, "_sample", lambda *a: docs.limit(0).select("lang", "text"))  # no sample is read
+    got = langid.least_score(docs, profiles)
+    want = np.quantile(scores, langid.LOW_QUANTILE, method="lower")
+    assert want - 1 / langid.BINS <= got <= want
+
+
+def test_kinds_of_edges_rule_gold_paths_out(spark):
+    from quarry.operators import graph as g
+
+    graph = star_kg.load(spark, SMALL)
+    assert g._closable(graph, gq.test_queries(graph)).count() == 0  # no two edges of these tables close a third
+
+
+@pytest.mark.parametrize("name", ["kg_ontology_paths", "kg_ontology_fast"])
+def test_evidence_that_is_read_twice_is_made_once(spark, name):
+    gq.QUERIES[name](spark, SMALL)
+    assert any("steps" in x.columns for x in star_kg._kept)
