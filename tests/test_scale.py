@@ -74,7 +74,7 @@ def test_kinds_of_edges_rule_gold_paths_out(spark):
     assert g._closable(graph, gq.test_queries(graph)).count() == 0  # no two edges of these tables close a third
 
 
-@pytest.mark.parametrize("name", ["kg_ontology_paths", "kg_ontology_fast", "kg_ontology_fast_paths"])
+@pytest.mark.parametrize("name", ["kg_ontology_paths", "kg_ontology_fast", "kg_ontology_fast_paths", "kg_compressed_evidence"])
 def test_evidence_that_is_read_twice_is_made_once(spark, name):
     gq.QUERIES[name](spark, SMALL)
     assert any("steps" in x.columns for x in star_kg._kept)
