@@ -78,3 +78,37 @@ def test_kinds_of_edges_rule_gold_paths_out(spark):
 def test_evidence_that_is_read_twice_is_made_once(spark, name):
     gq.QUERIES[name](spark, SMALL)
     assert any("steps" in x.columns for x in star_kg._kept)
+
+
+@pytest.mark.parametrize("name", ["kg_candidate_check", "kg_default_baseline", "kg_shared_patterns", "kg_concentration", "kg_gold_augmentation", "kg_filtered_ranks", "kg_full_ranking"])
+def test_scores_are_ranked_where_they_are_made(spark, name):
+    text = plan(gq.QUERIES[name](spark, SMALL))
+    assert "Window" not in text and "MapInArrow" in text
+
+
+def test_tails_are_cut_where_they_are_scored(spark):
+    text = plan(gq.QUERIES["kg_tail_ranking"](spark, SMALL))
+    assert text.count("Window") <= 2  # the first ten of each query, no sums over parts of the vectors
+
+
+def test_as_many_vectors_as_a_gigabyte_has_travel(spark):
+    from pyspark.sql import functions as F
+
+    n = 102_564
+    emb = spark.range(n).select(F.col("id").alias("vec_id"), F.array_repeat(F.col("id").cast("double"), 64).alias("vec"))
+    ids, vec = star_kg._shared(emb, n)
+    assert vec.shape == (n, 64) and ids[-1] == n - 1
+
+
+def test_draws_are_made_once(spark):
+    gq.QUERIES["kg_random_candidates"](spark, SMALL)
+    assert any("is_gold" in x.columns for x in star_kg._kept)  # the check and the answer read the same rows
+
+
+def test_large_tables_are_turned_row_by_row(spark, monkeypatch):
+    from quarry.operators import graph as g
+
+    rows = lambda: sorted(map(tuple, gq.QUERIES["kg_rotate_scores"](spark, SMALL).collect()))
+    want = rows()
+    monkeypatch.setattr(g, "MOST_TURNED", 0)
+    assert rows() == want
