@@ -112,3 +112,42 @@ def test_large_tables_are_turned_row_by_row(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(g, "MOST_TURNED", 0)
     assert rows() == want
+
+
+def test_edges_travel_as_numbers(spark, monkeypatch):
+    from quarry.operators import graph as g
+
+    made, dealt = [], g._dealt
+    monkeypatch.setattr(g, "_dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    graph = star_kg.load(spark, SMALL)
+    g.paths(graph, gq.test_queries(graph, gq.SEARCHED), max_hops=3)
+    assert len(made) == 3 and {kind for df in made for _, kind in df.dtypes} == {"bigint", "int"}  # empty lists are passed again for each row
+
+
+def test_edges_that_cannot_be_taken_are_left_out(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quarry.operators import graph as g
+
+    rng = np.random.default_rng(7)
+    table = rng.permutation(25).reshape(5, 5).round(9) / 25
+    rel = SimpleNamespace(find=lambda r: r, cosine=lambda q, e: table[q[:, None], e])
+    rows = {(n, o, int(rng.integers(5)), int(rng.integers(12)), None, None, None) for n in range(30) for o in (0, 1) for _ in range(rng.integers(60))}
+    rows = [*rows, *[x for x in rows if x[3] % 4 == 0]]  # some triples twice, some in both splits
+    rows += [(n, -1, int(rng.integers(5)), int(rng.integers(12)), 100, k, 0) for n in range(30) for k in range(5)]
+    rows.sort(key=lambda x: x[:4])
+    kinds = ["int64", "int32", "int32", "int64", "int64", "int32", "int32"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "ord", "r", "t", "head", "b1", "r1"])
+    run = lambda: sorted(str(x) for b in g._branches(SimpleNamespace(value=rel), 3, True, 2)([batch]) for x in b.to_pylist())
+    got = run()
+    left = [len(g._first(*(np.array(c) for c in list(zip(*rows, strict=True))[:4]), 3)), len(rows)]
+    assert got and left[0] < left[1]
+    monkeypatch.setattr(g, "_first", lambda node, *a: np.arange(len(node)))
+    assert run() == got
+
+
+def test_path_texts_read_their_paths_once(spark):
+    gq.QUERIES["kg_path_texts"](spark, SMALL)
+    assert not any("steps" in x.columns for x in star_kg._kept)
