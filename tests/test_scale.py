@@ -151,3 +151,22 @@ def test_edges_that_cannot_be_taken_are_left_out(monkeypatch):
 def test_path_texts_read_their_paths_once(spark):
     gq.QUERIES["kg_path_texts"](spark, SMALL)
     assert not any("steps" in x.columns for x in star_kg._kept)
+
+
+def test_vectors_of_relations_are_read_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import ontology
+
+    graph = star_kg.load(spark, SMALL)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(r):
+        reads.add(1)
+        return r
+
+    n = graph.relation_vectors.count()
+    graph.relation_vectors = graph.relation_vectors.select(seen.asNondeterministic()("r").alias("r"), "phase")
+    ontology.judged_paths(graph, gq.test_queries(graph, gq.SEARCHED))
+    assert reads.value == n
